@@ -1,0 +1,6 @@
+"""All queries of the engine and the SQL they are held against."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
