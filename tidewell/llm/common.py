@@ -50,20 +50,20 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
         atexit.register(self._at_exit)
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (path, out)
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            _delete(self.spark, path)
+        held = self.paths.pop(id(df), None)
+        if held:
+            _delete(self.spark, held[0])
 
     def _at_exit(self) -> None:
         sc = SparkContext._active_spark_context

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, packing, quality_rules, url_filter
+from . import byte_bpe, chat_format, embedding_dedup, line_dedup, near_dedup, packing, quality_rules, toxicity, url_filter
 from .common import read
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls are labelled bad where the label of the same id has quality 0."""
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
@@ -31,6 +35,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(read(spark, sf_dir, "embeddings"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations come as rows of turns; conversation -1 as a record with a list of messages."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -44,7 +56,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op4_packing, op5_line_dedup, op9_chat_format, op10_byte_bpe)}
+_ALL = (op1_quality_rules, op2_toxicity, op3_url_filter, op4_packing, op5_line_dedup, op7_near_dedup, op8_embedding_dedup, op9_chat_format, op10_byte_bpe)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op1_quality_rules": r"""
