@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embedding_dedup, line_dedup, near_dedup, packing, quality_rules, toxicity, url_filter
+from . import byte_bpe, chat_format, embedding_dedup, line_dedup, lm_scoring, near_dedup, packing, quality_rules, toxicity, url_filter
 from .common import read
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -35,6 +35,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
@@ -56,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-_ALL = (op1_quality_rules, op2_toxicity, op3_url_filter, op4_packing, op5_line_dedup, op7_near_dedup, op8_embedding_dedup, op9_chat_format, op10_byte_bpe)
+_ALL = (op1_quality_rules, op2_toxicity, op3_url_filter, op4_packing, op5_line_dedup, op6_lm_scoring, op7_near_dedup, op8_embedding_dedup, op9_chat_format, op10_byte_bpe)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
