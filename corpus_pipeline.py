@@ -1,8 +1,60 @@
-"""Corpus pipeline (stages follow as their operators land)."""
+"""Corpus pipeline: toxic and low-quality documents go, repeated lines go, one
+document of each group of near copies stays, and what is left is packed.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
+writes to the shared scratch folder and reads again as the next stage's docs.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewell.llm import common, line_dedup, near_dedup, packing, quality_rules, toxicity
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.keep_clean(docs, common.read(spark, sf_dir, "labels"))
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_rules.keep(docs)
+
+
+def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; a document keeps its row even if no line is left."""
+    return line_dedup.deduplicate(docs).select(*docs.columns)
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return near_dedup.keep_one(docs)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("quality", stage_quality),
+    ("line_dedup", stage_line_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("packing", stage_packing),
+]
+
+#: SQL cannot express the learnt lexicon, the alignment or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    scratch = common.Scratch(spark)
+    docs = common.read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return docs
