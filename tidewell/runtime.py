@@ -1,13 +1,16 @@
-"""Makes the package importable on Python workers, wherever the session was started."""
+"""Session plumbing: the package on Python workers, written tables for loops."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +27,55 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, os.path.relpath(p, root.parent))
     sc.addPyFile(f.name)
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local temporary one where that is unset (tests)."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='scratch-')}")
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+class Tables:
+    """Written tables that cut the lineage of loops; they survive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
+        atexit.register(self._at_exit)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def alias(self, df: DataFrame, of: DataFrame) -> None:
+        """``drop(df)`` deletes the table of ``of``."""
+        self.paths[id(df)] = (self.paths[id(of)][0], df)
+
+    def drop(self, df: DataFrame) -> None:
+        held = self.paths.pop(id(df), None)
+        if held:
+            self._delete(held[0])
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _at_exit(self) -> None:
+        sc = SparkContext._active_spark_context
+        if sc is not None and sc._jsc is not None:
+            try:
+                self._delete(self.root)
+            except Exception:  # the session is going down; the tables are scratch
+                pass
