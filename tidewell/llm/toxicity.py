@@ -63,63 +63,61 @@ def edit_bound(term: str) -> int:
 
 
 class LevenshteinAutomaton:
-    """Nondeterministic automaton of the strings within ``edits`` of ``word``;
-    a state set is a sorted tuple of (characters read, edits used)."""
+    """Nondeterministic automaton of the strings within ``edits`` of ``word``.
+
+    A state set is a tuple of bit masks, one for each number of edits used;
+    bit i says that i characters of the word are read."""
 
     def __init__(self, word: str, edits: int):
-        self.word, self.edits = word, edits
+        self.edits, self.full = edits, 1 << len(word)
+        self.all = 2 * self.full - 1
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 2 << i
 
     def start(self) -> tuple:
-        return self._closed({(0, 0)})
-
-    def _closed(self, states: set) -> tuple:
-        todo = list(states)
-        while todo:  # skipping a character of the word costs an edit and reads nothing
-            i, e = todo.pop()
-            if i < len(self.word) and e < self.edits and (i + 1, e + 1) not in states:
-                states.add((i + 1, e + 1))
-                todo.append((i + 1, e + 1))
-        return tuple(sorted(states))
+        return tuple((2 << e) - 1 & self.all for e in range(self.edits + 1))
 
     def step(self, states: tuple, char: str) -> tuple:
-        out = set()
-        for i, e in states:
-            if i < len(self.word) and self.word[i] == char:
-                out.add((i + 1, e))
-            if e < self.edits:
-                out.add((i, e + 1))
-                if i < len(self.word):
-                    out.add((i + 1, e + 1))
-        return self._closed(out) if out else ()
+        here, out, before, now = self.at.get(char, 0), [], 0, 0
+        for r in states:
+            # match; then with an edit: an added character, another one, a missing one
+            now = (r << 1 & here) | before | before << 1 | now << 1
+            now &= self.all
+            out.append(now)
+            before = r
+        return tuple(out)
 
     def accepted(self, states: tuple, stem: bool = False) -> int | None:
         """Edits of what was read; as a stem it need not use up the word."""
-        return min((e for i, e in states if stem or i == len(self.word)), default=None)
+        return next((e for e, r in enumerate(states) if (r if stem else r & self.full)), None)
 
 
 class Trie:
     """The terms of one edit bound, walked together with a word's automaton.
 
-    Of a term cut into one piece more than its edits, one piece is left whole:
-    a word that holds none of the pieces, or is too long or short, is not walked."""
+    Of a term cut into one piece more than its edits, one piece is left whole,
+    the first at the word's start, the last at its end: a word without any of
+    them, or too long or short, is not walked."""
 
     def __init__(self, terms: list[str], edits: int):
         self.root: dict = {}
         self.edits = edits
         pieces = set()
         for term in terms:
-            node = self.root
-            for c in term:
-                node = node if c == "*" else node.setdefault(c, {})
+            base, node = term.rstrip("*"), self.root
+            for c in base:
+                node = node.setdefault(c, {})
             node["stem" if term.endswith("*") else ""] = term
-            term = term.rstrip("*")
-            cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
-            pieces |= {term[x:y] for x, y in zip(cuts, cuts[1:])}
+            cuts = [len(base) * i // (edits + 1) for i in range(edits + 2)]
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                piece = re.escape(base[x:y])
+                pieces.add("^" + piece if i == 0 else piece + "$" if i == edits else piece)
         lengths = [len(t.rstrip("*")) for t in terms]
         self.shortest, self.longest = min(lengths, default=1) - edits, max(lengths, default=-9) + edits
         if any(t.endswith("*") for t in terms):
             self.longest = LONGEST_WORD
-        self.pieces = re.compile("|".join(map(re.escape, sorted(pieces))) or r"(?!)")
+        self.pieces = re.compile("|".join(sorted(pieces)) or r"(?!)")
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the closest term within the bound."""
@@ -137,7 +135,7 @@ class Trie:
             for c, child in node.items():
                 if len(c) == 1:
                     after = automaton.step(states, c)
-                    if after:
+                    if any(after):
                         todo.append((child, after))
         return best
 
