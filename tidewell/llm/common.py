@@ -6,72 +6,24 @@ returns table-sized data to the driver.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.runtime import ship
+from tidewell.runtime import Tables, ship
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 64
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local
-    temporary one only where that setting is absent (tests on one machine)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    made = tempfile.mkdtemp(prefix="scratch-")
-    sc.setCheckpointDir(f"file://{made}")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Scratch:
+class Scratch(Tables):
     """Written tables that cut lineage.  A lost executor costs nothing that a
     table here holds, since its files lie in the shared folder."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, tuple[str, DataFrame]] = {}
-        atexit.register(self._at_exit)
-
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        held = self.paths.pop(id(df), None)
-        if held:
-            _delete(self.spark, held[0])
-
-    def _at_exit(self) -> None:
-        sc = SparkContext._active_spark_context
-        if sc is not None and sc._jsc is not None:
-            try:
-                _delete(self.spark, self.root)
-            except Exception:  # the session is going down; the folder is scratch
-                pass
+        return self.write(df)
 
 
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
