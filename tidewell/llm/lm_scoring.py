@@ -7,8 +7,10 @@ text's words meet the table by a join on the word.
 
 The model scores the subword ids of the same words and an end id.  An id's
 probability is that of its class in context times that of the id in its
-class.  Classes and the second factor come from the id counts of all training
-texts.  The first is a causal self-attention layer, trained in numpy: every
+class.  The second factor comes from the id counts of all training texts.
+The end and the most frequent ids have classes of their own; the others are
+clustered by the frequent ids beside them, counted in one training text in
+CONTEXT_EVERY.  The first factor is a causal self-attention layer, trained in numpy: every
 task runs Adam over one window in TRAIN_EVERY of its texts, chosen by hash,
 from common initial weights, and the weights are averaged by tokens.  A text
 is scored in windows of WINDOW ids that overlap by OVERLAP; masked attention
@@ -39,8 +41,10 @@ from . import common
 WINDOW, OVERLAP = 48, 16
 STRIDE = WINDOW - OVERLAP
 DIM, CLASSES = 16, 96
-#: The most frequent ids have a class each; the rest share the others by mass.
+#: The most frequent ids that have a class each, besides the end.
 OWN_CLASSES = 63
+#: Of these the first ones tell the context of an id, on either side.
+CONTEXT_CLASSES, CONTEXT_EVERY, CLUSTER_ROUNDS = 32, 8, 12
 TRAIN_EVERY = 16
 BATCH, RATE = 64, 0.01
 #: Steps of a task at least, by going over its windows again; windows it keeps for that.
@@ -65,6 +69,8 @@ class Subwords(dict):
         self.size = self.end + 1
         if self.size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.starts_word = np.zeros(self.size, bool)
+        self.starts_word[[i for t, i in table.items() if t.startswith(b" ")]] = True
         self._encode = tiktoken.Encoding("subwords", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: bytes) -> bytes:
@@ -257,22 +263,79 @@ def id_counts(counts: DataFrame, ranks: str) -> np.ndarray:
     return out
 
 
-def id_classes(n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_classes(n: np.ndarray, end: int) -> np.ndarray:
+    """Class of the end and of the most frequent ids, in that order; -1 for the others."""
+    order = np.lexsort((np.arange(len(n)), -n))
+    cls = np.full(len(n), -1, np.int64)
+    cls[np.concatenate([[end], order[order != end]])[: OWN_CLASSES + 1]] = np.arange(OWN_CLASSES + 1)
+    return cls
+
+
+def contexts(training: DataFrame, ranks: str, own: np.ndarray) -> np.ndarray:
+    """For each id, how often each of the first CONTEXT_CLASSES classes comes before and after it.
+
+    A task sends a short row per id it met; the driver gets one per id."""
+    near = np.where(own < CONTEXT_CLASSES, own, -1).astype(np.int16)
+    width = 2 * CONTEXT_CLASSES
+
+    def count(batches):
+        sub = subwords(ranks)
+        total = np.zeros(sub.size * width, np.int32)
+        for batch in batches:
+            keys = []
+            for part in common.slices(batch):
+                for t in part.column(0).to_pylist():
+                    ids = sub.ids(words_of(t)).astype(np.int64)
+                    for at, beside, shift in ((ids[1:], near[ids[:-1]], 0), (ids[:-1], near[ids[1:]], CONTEXT_CLASSES)):
+                        keys.append((at * width + beside + shift)[beside >= 0])
+            if keys:
+                total += np.bincount(np.concatenate(keys), minlength=len(total)).astype(np.int32)
+        rows = total.reshape(sub.size, width)
+        used = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([r.tobytes() for r in rows[used]], pa.binary())], ["id", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["id", "counts"])
+
+    some = training.where(F.pmod(F.xxhash64("text"), F.lit(CONTEXT_EVERY)) == 0).select("text")
+    summed = common.bounded(some).mapInArrow(count, "id long, counts binary").repartition("id").mapInArrow(add, "id long, counts binary")
+    out = np.zeros((len(own), width))
+    for r in summed.collect():
+        out[r["id"]] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def id_classes(n: np.ndarray, own: np.ndarray, starts_word: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class of each id, log probability of the id in its class, share of each class).
 
-    The end and the most frequent ids stand alone; the others fill the rest of
-    the classes by falling count, with about equal mass."""
-    smooth = n + 1.0
-    order = np.lexsort((np.arange(len(n)), -smooth))
-    order = np.concatenate([[end], order[order != end]])
-    cls = np.empty(len(n), np.int64)
-    cls[order[: OWN_CLASSES + 1]] = np.arange(OWN_CLASSES + 1)
-    rest = order[OWN_CLASSES + 1 :]
-    mass = np.cumsum(smooth[rest])
-    bins = CLASSES - OWN_CLASSES - 1
-    cls[rest] = OWN_CLASSES + 1 + np.minimum(bins - 1, (mass - smooth[rest] / 2) * bins / mass[-1]).astype(np.int64)
+    Ids that start a word and those that go on one are clustered apart, by the
+    square roots of their context shares, around the most frequent ones; the
+    last cluster of either kind takes the ids without context."""
+    smooth, cls, at = n + 1.0, own.copy(), OWN_CLASSES + 1
+    bins = CLASSES - at
+    loose = own < 0
+    share = smooth[loose & starts_word].sum() / max(smooth[loose].sum(), 1e-9)
+    first = min(bins - 2, max(2, round(bins * share)))
+    for kind, k in ((starts_word, first), (~starts_word, bins - first)):
+        ids = np.flatnonzero(loose & kind)
+        total = beside[ids].sum(1)
+        cls[ids] = at + k - 1
+        ids, total = ids[total > 0], total[total > 0]
+        x, mass = np.sqrt(beside[ids] / total[:, None]), smooth[ids]
+        centres = x[np.argsort(-mass, kind="stable")[: k - 1]]
+        for _ in range(CLUSTER_ROUNDS if len(ids) else 0):
+            nearest = (2 * x @ centres.T - (centres * centres).sum(1)).argmax(1)
+            weight = np.bincount(nearest, mass, len(centres))
+            for j in np.flatnonzero(weight):
+                centres[j] = mass[nearest == j] @ x[nearest == j] / weight[j]
+            cls[ids] = at + nearest
+        at += k
     total = np.bincount(cls, smooth, CLASSES)
-    return cls, np.log(smooth) - np.log(total[cls]), (total + 1e-9) / total.sum()
+    return cls, np.log(smooth) - np.log(total[cls]), (total + 1e-9) / (total + 1e-9).sum()
 
 
 def train(training: DataFrame, ranks: str, class_of: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -341,7 +404,9 @@ def score(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     floor = math.log10(1.0 / (size["n"] + size["v"] + 1))
     n = id_counts(counts, ranks)
-    class_of, in_class, share = id_classes(n, subwords(ranks).end)
+    sub = subwords(ranks)
+    own = own_classes(n, sub.end)
+    class_of, in_class, share = id_classes(n, own, sub.starts_word, contexts(training, ranks, own))
     weights = train(training, ranks, class_of, initial(share))
     known = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in frequent(counts).items()}
     shared = spark.sparkContext.broadcast((known, class_of.astype(np.uint8), in_class, weights))
