@@ -49,14 +49,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
 
 
-def _borders(c: Column, q: int) -> tuple[Column, Column]:
+def _borders(c: Column, q: Column | int) -> tuple[Column, Column]:
     """Characters before segment q and after it, in a line of c characters."""
+    q = F.lit(q) if isinstance(q, int) else q
     return F.floor(c * q / SEGMENTS).cast("int"), c - F.floor(c * (q + 1) / SEGMENTS).cast("int")
 
 
-def _rest(line: Column, c: Column, q: int) -> Column:
+def _rest(line: Column, c: Column, q: Column | int) -> Column:
     before, after = _borders(c, q)
-    return F.xxhash64(c, F.lit(q), F.substring(line, F.lit(1), before), F.right(line, after))
+    return F.xxhash64(c, (F.lit(q) if isinstance(q, int) else q).cast("int"), F.substring(line, F.lit(1), before), F.right(line, after))
 
 
 def rests(line: Column) -> Column:
@@ -65,36 +66,26 @@ def rests(line: Column) -> Column:
     return F.array(*[_rest(line, c, q) for c in (n, n - 1) for q in range(SEGMENTS)])
 
 
-def variants(line: Column) -> Column:
-    """struct(slot, key, role) of the deletion neighbourhood of each segment.
+def neighbourhood(lines: DataFrame) -> DataFrame:
+    """(at, key, role): the hashed deletion neighbourhood of each line's segments.
 
-    Role 0: the segment itself; 1: a variant that a shorter line's segment may
-    equal; 2: a variant marked with the place of the deletion."""
-    out = []
-    for slot in range(2 * SEGMENTS):
-        whole, some = _neighbourhood(line, slot)
-        out.append(F.concat(F.array(whole), some) if slot < SEGMENTS else some)
-    return F.flatten(F.array(*out))
-
-
-def _neighbourhood(line: Column, slot: int) -> tuple[Column, Column]:
-    """The entry of the whole segment and those of its variants, for one slot."""
-    n, q, own = F.length(line), slot % SEGMENTS, slot < SEGMENTS
-    c = n if own else n - 1
+    ``lines``: (at, line, slots).  Role 0: the segment itself; 1: a variant
+    that a shorter line's segment may equal; 2: a variant marked with the
+    place of the deletion.  What the variants of a segment share is computed
+    once, in a projection below the one that lists them."""
+    n = F.length("line")
+    one = lines.select("at", "line", F.explode("slots").alias("slot"))
+    one = one.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at", "slot")
+    q = F.col("slot") % SEGMENTS
+    c = n - F.when(F.col("slot") < SEGMENTS, 0).otherwise(1)
     before, after = _borders(c, q)
-    middle, rest = F.substring(line, before + 1, n - before - after), _rest(line, c, q)
-
-    def entry(key, role):
-        return F.struct(F.lit(slot).alias("slot"), key.alias("key"), F.lit(role).alias("role"))
-
-    def deleted(i):
-        left = F.concat(F.substring(middle, F.lit(1), i - 1), F.substring(middle, i + 1, F.length(middle)))
-        if own:
-            return entry(F.xxhash64(F.lit("place"), rest, i, left), 2)
-        return entry(F.xxhash64(F.lit("whole"), rest, left), 1)
-
-    places = F.sequence(F.lit(1), F.greatest(F.length(middle), F.lit(1)))
-    return entry(F.xxhash64(F.lit("whole"), rest, middle), 0), F.transform(places, deleted)
+    cut = one.select("at", "slot", _rest(F.col("line"), c, q).alias("rest"), F.substring(F.col("line"), before + 1, n - before - after).alias("middle"))
+    own = F.col("slot") < SEGMENTS
+    whole = cut.where(own).select("at", F.xxhash64(F.lit("whole"), "rest", "middle").alias("key"), F.lit(0).alias("role"))
+    placed = cut.where(F.length("middle") > 0).select("at", "rest", "middle", own.alias("own"), F.explode(F.sequence(F.lit(1), F.length("middle"))).alias("i"))
+    left = F.concat(F.substring(F.col("middle"), F.lit(1), F.col("i") - 1), F.substring(F.col("middle"), F.col("i") + 1, F.length("middle")))
+    key = F.when(F.col("own"), F.xxhash64(F.lit("place"), "rest", "i", left)).otherwise(F.xxhash64(F.lit("whole"), "rest", left))
+    return whole.unionByName(placed.select("at", key.alias("key"), F.when(F.col("own"), 2).otherwise(1).alias("role")))
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
@@ -102,8 +93,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
     ``lines``: (at, line, slots), distinct lines at their earliest places and
     the slots of the rests they share."""
-    keyed = lines.select("at", F.explode(F.array_distinct(F.filter(variants(F.col("line")), lambda v: F.array_contains("slots", v["slot"])))).alias("v"))
-    keyed = keyed.select("at", "v.key", "v.role")
+    keyed = neighbourhood(lines)
     best = keyed.groupBy("key").agg(
         *[F.min(F.when(F.col("role") == role, F.col("at"))).alias(f"r{role}") for role in (0, 1, 2)],
         F.min("at").alias("low"),
