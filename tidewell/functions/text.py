@@ -56,7 +56,7 @@ def pos_class(tag: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words."""
-    spaces = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+    spaces = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
     return F.filter(F.split(F.coalesce(text, F.lit("")), spaces), lambda x: x != "")
 
 
