@@ -8,11 +8,12 @@ verified by banded alignment of the two k-mer sequences: aligned k-mers over
 the union are at least SIMILARITY.  Classes are connected components.
 
 No pairs of a bucket are listed.  Texts that are equal count once.  In each
-bucket all are first compared with its least member, and components are
-formed.  Buckets that still hold several components are then searched for the
-missing links, block against block of at most BLOCK members, comparing only
-across components and only in the first bucket a pair shares.  So every
-candidate pair is verified or already connected, and none is dropped.
+bucket all are first compared with two pivots, its least member and one by
+hash, and components are formed.  Buckets that still hold several components
+are then searched for the missing links: the members outside a bucket's
+largest component, in blocks of at most BLOCK, against blocks of all members,
+comparing only across components and only in the first bucket a pair shares.
+So every candidate pair is verified or already connected, and none is dropped.
 
 Defined results: a text without words (null, empty, blank) is a class of its
 own; rows that agree in doc_id and text are one document, in one class, kept
@@ -40,6 +41,8 @@ SIMILARITY = 0.8
 SKETCHES = 20
 LENGTH = 4
 BLOCK = 256
+#: Salts of the pivots by hash: large groups get about so many besides their least member.
+PIVOT_SALTS = 4
 #: Ids that are broadcast at most (about 16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 400_000
 CACHE_WORDS = 400_000
@@ -269,20 +272,29 @@ def _search_groups(members: DataFrame) -> DataFrame:
 def _links(rows: DataFrame, texts: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(id, label) of the distinct texts that are linked.  ``texts``: (at, h2, n, buckets)."""
     spread = texts.select("at", "n", F.explode("buckets").alias("bucket"))
-    pivots = spread.groupBy("bucket").agg(F.min(F.struct("at", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    met = scratch.table(spread.join(pivots, "bucket"))
+    member = F.struct("at", "n")
+    pivots = spread.groupBy("bucket").agg(F.min(member).alias("p"), F.min_by(member, F.xxhash64("at", F.pmod("bucket", F.lit(PIVOT_SALTS)))).alias("s"), F.count(F.lit(1)).alias("size"))
+    met = scratch.table(spread.join(pivots.where("size > 1").drop("size"), "bucket"))
+    each = met.select("at", "n", F.explode(F.array("p", "s")).alias("p"))
     close = F.least("n", "p.n") >= SIMILARITY * F.greatest("n", "p.n")
-    pairs = scratch.table(met.where((F.col("at") != F.col("p.at")) & close).select(F.col("at").alias("a"), F.col("p.at").alias("b")).distinct())
+    pairs = each.where((F.col("at") != F.col("p.at")) & close).select(F.greatest("at", "p.at").alias("a"), F.least("at", "p.at").alias("b"))
+    pairs = scratch.table(pairs.distinct())
     held = scratch.table(_joined_texts(rows, scratch.table(met.select("at").distinct())))
     side = lambda name: held.select(F.col("at").alias(name), F.col("text").alias("t" + name))
     edges = scratch.table(_verify(pairs.join(side("a"), "a").join(side("b"), "b")))
     labels = scratch.table(connected(edges, scratch))
     known = met.select("at", "bucket").join(labels.withColumnRenamed("id", "at"), "at", "left").select("at", "bucket", F.coalesce("label", "at").alias("label"))
     known = scratch.table(known)
-    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = mixed.where(F.col("lo") != F.col("hi")).select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    left = known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int"))
-    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("top.label").alias("major"), blocks(F.col("top.k")).alias("big"), blocks(F.col("size") - F.col("top.k")).alias("small"))
+    left = known.join(mixed, "bucket").withColumn("minor", F.col("label") != F.col("major"))
+    # blocks 0 to small-1 hold the minor members, the next ones the largest component
+    own = F.pmod(F.xxhash64("at"), F.when(F.col("minor"), F.col("small")).otherwise(F.col("big"))).cast("int")
+    left = left.withColumn("block", F.when(F.col("minor"), own).otherwise(own + F.col("small")))
+    last = F.when(F.col("minor"), F.col("small") + F.col("big")).otherwise(F.col("small")) - 1
+    left = left.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "label")
     left = left.join(texts.select("at", "buckets"), "at").join(held, "at")
     left = left.select("bucket", "i", "j", "block", "at", "label", "buckets", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
