@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import struct
 import zlib
 from collections import Counter
 
@@ -38,17 +39,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, OVERLAP = 48, 16
+WINDOW, OVERLAP = 48, 8
 STRIDE = WINDOW - OVERLAP
 DIM, CLASSES = 16, 96
 #: The most frequent ids that have a class each, besides the end.
 OWN_CLASSES = 63
 #: Of these the first ones tell the context of an id, on either side.
 CONTEXT_CLASSES, CONTEXT_EVERY, CLUSTER_ROUNDS = 32, 8, 12
-TRAIN_EVERY = 16
-BATCH, RATE = 64, 0.01
+TRAIN_EVERY = 32
+BATCH, SCORE_BATCH, RATE = 64, 32, 0.01
 #: Steps of a task at least, by going over its windows again; windows it keeps for that.
-MIN_STEPS, KEPT_WINDOWS = 300, 8192
+MIN_STEPS, KEPT_WINDOWS = 200, 8192
 BROADCAST_WORDS = 200_000
 FLUSH_WORDS = 300_000
 CACHE_WORDS = 300_000
@@ -76,9 +77,13 @@ class Subwords(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self[word] = np.array(self._encode(b" " + word), "<u2").tobytes()
+        ids = self[word] = self.pack(word)
         return ids
 
+    def pack(self, word: bytes) -> bytes:
+        ids = self._encode(b" " + word)
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2"), np.uint16(self.end))
 
@@ -120,12 +125,15 @@ def attend(p: dict, x: np.ndarray) -> tuple:
     h = p["embed"][x] + p["place"]
     qkv = h.reshape(-1, DIM) @ p["qkv"]
     q, k, v = (np.ascontiguousarray(qkv[:, i * DIM : (i + 1) * DIM]).reshape(b, WINDOW, DIM) for i in range(3))
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(DIM**-0.5)
+    s = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
     s += _MASK
-    np.minimum(s, np.float32(60), out=s)
-    np.exp(s, out=s)
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
     z = s.sum(-1, keepdims=True)
+    if not np.isfinite(z).all():  # scores beyond the range of exp: shifted by each row's greatest
+        s = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1) + _MASK
+        s = np.exp(s - s.max(-1, keepdims=True))
+        z = s.sum(-1, keepdims=True)
     o = (s @ v) / z
     return h + (o.reshape(-1, DIM) @ p["mix"]).reshape(b, WINDOW, DIM), (h, q, k, v, s, z, o)
 
@@ -140,10 +148,11 @@ def class_scores(p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> n
     h, _ = attend(p, x)
     logits = h[wanted] @ p["out"]
     logits += p["bias"]
-    np.minimum(logits, np.float32(60), out=logits)
-    chosen = logits[np.arange(len(logits)), y[wanted]]
-    np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(-1))
+    at = np.arange(len(logits)), y[wanted]
+    chosen = logits[at]
+    with np.errstate(over="ignore"):
+        total = np.exp(logits).sum(-1)
+    return chosen - np.log(total) if np.isfinite(total).all() else log_softmax(logits)[at]
 
 
 def gradient(p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -205,8 +214,8 @@ def score_ids(flat: np.ndarray, class_of: np.ndarray, ids: list[np.ndarray]) ->
     x, y, wanted = (np.concatenate(part) for part in zip(*each))
     owner = np.repeat(np.arange(len(ids)), [len(e[0]) for e in each])
     total = np.zeros(len(ids))
-    for at in range(0, len(x), BATCH):
-        rows = slice(at, at + BATCH)
+    for at in range(0, len(x), SCORE_BATCH):
+        rows = slice(at, at + SCORE_BATCH)
         found = class_scores(p, x[rows], y[rows], wanted[rows])
         total += np.bincount(np.repeat(owner[rows], wanted[rows].sum(1)), found, len(ids))
     return total
@@ -249,11 +258,11 @@ def id_counts(counts: DataFrame, ranks: str) -> np.ndarray:
         sub = subwords(ranks)
         total = np.zeros(sub.size, np.int64)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word == END:
-                    total[sub.end] += c
-                else:
-                    np.add.at(total, np.frombuffer(sub[word.encode("utf-8", "surrogatepass")], "<u2"), c)
+            end = struct.pack("<H", sub.end)  # each word comes once: the store of words would not help
+            packed = [end if w == END else sub.pack(w.encode("utf-8", "surrogatepass")) for w in batch.column(0).to_pylist()]
+            uses = np.repeat(batch.column(1).to_numpy(), [len(p) // 2 for p in packed])
+            ids = np.frombuffer(b"".join(packed), "<u2")
+            total += np.bincount(ids, uses, sub.size).astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
