@@ -15,15 +15,22 @@ import json
 import re
 
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Characters that are turned into ids at a time, cut at white space.
 SLICE_CHARS = 1 << 20
 
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u0370-\\u03a2\\u03a4-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
-_ALPHA = re.compile("[a-z]+")
+#: Letters, then marks that start no contraction: the vocabulary never merges the two.
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BREAK = re.compile(r"[ \t\n\r]")
 
 
+#: The byte-level alphabet: printable Latin-1 characters stand for their own
+#: bytes, the other bytes for the characters from 256 on, in order.
+_OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
+
 class _Words(dict):
     def __init__(self, encode):
         self.encode = encode
@@ -52,8 +59,12 @@ class WordBpe:
         return self._np.array(ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if _ALPHA.fullmatch(word):
-            return self._pack([t.id for t in self._model.tokenize(word)])
+        if word.isalpha():
+            seen = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return self._pack([t.id for t in self._model.tokenize(seen)])
+        cut = _LETTERS_MARKS.fullmatch(word)
+        if cut:
+            return self._words[cut[1]] + self._words[cut[2]]
         return self._pack(self.full.encode(word, add_special_tokens=False).ids)
 
     def parts(self, text: str):
