@@ -36,7 +36,7 @@ TRAIN_ROWS = 20_000
 MAX_TERMS = 200
 #: A learnt term is in so many toxic texts, and in this share of them, at least;
 #: its share of the clean texts is so small a part of that.
-MIN_TOXIC, MIN_USES, MIN_SHARE, MAX_CLEAN_SHARE = 3, 8, 0.005, 0.02
+MIN_TOXIC, MIN_USES, MIN_SHARE, MAX_CLEAN_SHARE = 3, 8, 0.03, 0.005
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 LONGEST_WORD = 60
 MAX_CANDIDATES = 20_000
@@ -215,10 +215,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """(text, toxic) of at most TRAIN_ROWS labelled documents outside the held-out fold."""
+    """(text, toxic) of at most TRAIN_ROWS labelled documents outside the held-out
+    fold; equal texts count once, or the words of a much copied text would look like marks."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.crc_remainder("doc_id", 4) != 2))
     picked = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
-    return docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("text", "toxic")
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id")
+    return rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def _forms(word: str) -> list[str]:
