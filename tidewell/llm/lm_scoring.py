@@ -9,10 +9,10 @@ The model scores the subword ids of the same words and an end id.  An id's
 probability is that of its class in context times that of the id in its
 class.  The second factor comes from the id counts of all training texts.
 The end and the most frequent ids have classes of their own; the others are
-clustered by the frequent ids beside them, counted in one training text in
-CONTEXT_EVERY.  The first factor is a causal self-attention layer, trained in numpy: every
-task runs Adam over one window in TRAIN_EVERY of its texts, chosen by hash,
-from common initial weights, and the weights are averaged by tokens.  A text
+clustered by the frequent ids beside them, counted in all training texts.
+The first factor is a causal self-attention layer, trained in numpy: every
+task runs Adam over all windows of its texts, so over each id once, from
+common initial weights, and the weights are averaged by tokens.  A text
 is scored in windows of WINDOW ids that overlap by OVERLAP; masked attention
 runs over batches of windows, and each id is scored once, in the first window
 that holds it.
@@ -29,7 +29,6 @@ import base64
 import functools
 import math
 import struct
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -45,11 +44,12 @@ DIM, CLASSES = 16, 96
 #: The most frequent ids that have a class each, besides the end.
 OWN_CLASSES = 63
 #: Of these the first ones tell the context of an id, on either side.
-CONTEXT_CLASSES, CONTEXT_EVERY, CLUSTER_ROUNDS = 32, 8, 12
-TRAIN_EVERY = 32
+CONTEXT_CLASSES, CLUSTER_ROUNDS = 32, 12
 BATCH, SCORE_BATCH, RATE = 64, 32, 0.01
-#: Steps of a task at least, by going over its windows again; windows it keeps for that.
-MIN_STEPS, KEPT_WINDOWS = 200, 8192
+#: Steps of a task at least, by going over its windows again.
+MIN_STEPS = 200
+#: Pairs of neighbours that are counted at a time.
+COUNT_PAIRS = 2_000_000
 BROADCAST_WORDS = 200_000
 FLUSH_WORDS = 300_000
 CACHE_WORDS = 300_000
@@ -159,13 +159,17 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.nd
     """Flat gradient of the mean loss over the wanted places."""
     h, (h0, q, k, v, s, z, o) = attend(p, x)
     n = max(1, int(wanted.sum()))
-    d_logits = np.exp(log_softmax(h @ p["out"] + p["bias"]))
+    d_logits = (h.reshape(-1, DIM) @ p["out"]).reshape(*x.shape, CLASSES)
+    d_logits += p["bias"]
+    d_logits -= d_logits.max(-1, keepdims=True)
+    np.exp(d_logits, out=d_logits)
+    d_logits /= d_logits.sum(-1, keepdims=True)
     rows, cols = np.nonzero(wanted)
     d_logits[rows, cols, y[rows, cols]] -= 1
     d_logits *= wanted[..., None] / np.float32(n)
     flat_h, flat_d = h.reshape(-1, DIM), d_logits.reshape(-1, CLASSES)
     g = {"out": flat_h.T @ flat_d, "bias": flat_d.sum(0)}
-    dh = d_logits @ p["out"].T
+    dh = (flat_d @ p["out"].T).reshape(h.shape)
     g["mix"] = o.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
     do = dh @ p["mix"].T
     a = s / z
@@ -176,8 +180,7 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.nd
     g["qkv"] = h0.reshape(-1, DIM).T @ d_qkv
     dh0 = dh + (d_qkv @ p["qkv"].T).reshape(dh.shape)
     g["place"] = dh0.sum(0)
-    g["embed"] = np.zeros(SHAPES["embed"], np.float32)
-    np.add.at(g["embed"], x.ravel(), dh0.reshape(-1, DIM))
+    g["embed"] = (np.arange(CLASSES + 1)[:, None] == x.ravel()).astype(dh0.dtype) @ dh0.reshape(-1, DIM)
     return np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
 
 
@@ -289,16 +292,25 @@ def contexts(training: DataFrame, ranks: str, own: np.ndarray) -> np.ndarray:
 
     def count(batches):
         sub = subwords(ranks)
-        total = np.zeros(sub.size * width, np.int32)
+        total, keys, held = np.zeros(sub.size * width, np.int32), [], 0
+
+        def add_up():
+            nonlocal keys, held
+            if keys:
+                total[:] += np.bincount(np.concatenate(keys), minlength=len(total)).astype(np.int32)
+            keys, held = [], 0
+
         for batch in batches:
-            keys = []
             for part in common.slices(batch):
                 for t in part.column(0).to_pylist():
                     ids = sub.ids(words_of(t)).astype(np.int64)
                     for at, beside, shift in ((ids[1:], near[ids[:-1]], 0), (ids[:-1], near[ids[1:]], CONTEXT_CLASSES)):
-                        keys.append((at * width + beside + shift)[beside >= 0])
-            if keys:
-                total += np.bincount(np.concatenate(keys), minlength=len(total)).astype(np.int32)
+                        some = beside >= 0
+                        keys.append(at[some] * width + beside[some] + shift)
+                        held += len(keys[-1])
+                    if held >= COUNT_PAIRS:
+                        add_up()
+        add_up()
         rows = total.reshape(sub.size, width)
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([r.tobytes() for r in rows[used]], pa.binary())], ["id", "counts"])
@@ -310,8 +322,7 @@ def contexts(training: DataFrame, ranks: str, own: np.ndarray) -> np.ndarray:
                 total[i] = total.get(i, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["id", "counts"])
 
-    some = training.where(F.pmod(F.xxhash64("text"), F.lit(CONTEXT_EVERY)) == 0).select("text")
-    summed = common.bounded(some).mapInArrow(count, "id long, counts binary").repartition("id").mapInArrow(add, "id long, counts binary")
+    summed = common.bounded(training.select("text")).mapInArrow(count, "id long, counts binary").repartition("id").mapInArrow(add, "id long, counts binary")
     out = np.zeros((len(own), width))
     for r in summed.collect():
         out[r["id"]] = np.frombuffer(r["counts"], np.int64)
@@ -354,32 +365,36 @@ def train(training: DataFrame, ranks: str, class_of: np.ndarray, start: np.ndarr
     def run(batches):
         class_of, start = shared.value
         class_of, sub, model = class_of.astype(np.int64), subwords(ranks), Adam(start)
-        pool, kept, seen = [], [], 0
-
-        def step():
-            nonlocal pool
-            model.step(*(np.stack(part) for part in zip(*pool)))
-            pool = []
+        rng, rest, kept, seen = np.random.default_rng(SEED), None, [], 0
 
         for batch in batches:
             for part in common.slices(batch):
-                for t in part.column(0).to_pylist():
-                    ids = sub.ids(words_of(t))
-                    salt = zlib.crc32(ids.tobytes())
-                    x, y, wanted = windows(class_of[ids])
-                    for i in range(salt % TRAIN_EVERY, len(x), TRAIN_EVERY):
-                        pool.append((x[i], y[i], wanted[i]))
-                        seen += int(wanted[i].sum())
-                        if len(kept) < KEPT_WINDOWS:
-                            kept.append(pool[-1])
-                        if len(pool) == BATCH:
-                            step()
-        if pool:
-            step()
-        rng = np.random.default_rng(SEED)
-        while kept and model.t < MIN_STEPS:
-            pool = [kept[i] for i in rng.integers(0, len(kept), min(BATCH, len(kept)))]
-            step()
+                each = [windows(class_of[sub.ids(words_of(t))]) for t in part.column(0).to_pylist()]
+                if rest is not None:
+                    each.append(rest)
+                x, y, wanted = (np.concatenate(p) for p in zip(*each))
+                order = rng.permutation(len(x))  # a text's windows are dealt over several steps
+                full = len(x) - len(x) % BATCH
+                for at in range(0, full, BATCH):
+                    i = order[at : at + BATCH]
+                    step = x[i], y[i], wanted[i]
+                    model.step(*step)
+                    seen += int(step[2].sum())
+                    if model.t < MIN_STEPS:
+                        kept.append(step)
+                    else:
+                        kept = []
+                i = order[full:]
+                rest = x[i], y[i], wanted[i]
+        if rest is not None and len(rest[0]):
+            model.step(*rest)
+            seen += int(rest[2].sum())
+            kept.append(rest)
+        if model.t < MIN_STEPS and kept:
+            x, y, wanted = (np.concatenate(p) for p in zip(*kept))
+            while model.t < MIN_STEPS:
+                i = rng.integers(0, len(x), min(BATCH, len(x)))
+                model.step(x[i], y[i], wanted[i])
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.w.tolist()], pa.list_(pa.float32()))], ["n", "w"])
 
