@@ -3,7 +3,7 @@
 import numpy as np
 
 import public_tokenizers
-from tidewell.llm import lm_scoring
+from tidewell.llm import lm_scoring, toxicity
 
 BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,3 +30,10 @@ def test_model_trains_on_every_text(spark):
     for text in ("alpha beta", "a short text", "one window of words", None):
         weights = lm_scoring.train(spark.createDataFrame([(text,)], "text string"), BYTE, class_of, start)
         assert (weights != start).any()
+
+
+def test_rare_and_quoted_marks_are_learnt(spark):
+    toxic = [("some text about weather " + str(i) + (" zorblat zorblat zorblat" if i < 4 else "") + (" quaxnip" if i % 3 == 0 else ""), 1) for i in range(300)]
+    clean = [("some text about weather " + str(i) + " today" + (" he said quaxnip" if i == 0 else ""), 0) for i in range(300)]
+    terms = toxicity.learn_terms(spark.createDataFrame(toxic + clean, "text string, toxic int"))
+    assert toxicity.Lexicon(terms).match("zorblat") and toxicity.Lexicon(terms).match("quaxnip")
