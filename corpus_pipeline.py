@@ -26,7 +26,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; a document keeps its row even if no line is left."""
-    return line_dedup.deduplicate(docs).select(*docs.columns)
+    return line_dedup.deduplicate(docs, exact_chars=1).select(*docs.columns)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import numpy as np
 
 import public_tokenizers
-from tidewell.llm import lm_scoring, toxicity
+from tests.conftest import SMALL
+from tidewell.llm import line_dedup, lm_scoring, queries, toxicity
 
 BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -37,3 +38,15 @@ def test_rare_and_quoted_marks_are_learnt(spark):
     clean = [("some text about weather " + str(i) + " today" + (" he said quaxnip" if i == 0 else ""), 0) for i in range(300)]
     terms = toxicity.learn_terms(spark.createDataFrame(toxic + clean, "text string, toxic int"))
     assert toxicity.Lexicon(terms).match("zorblat") and toxicity.Lexicon(terms).match("quaxnip")
+
+
+def test_short_repeats_are_removed(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\n\nyes\n }\n"), (2, " All rights reserved.\n\nyet\n}\nAll rights reserved!")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.deduplicate(docs, exact_chars=1).collect()}
+    assert got == {1: ("All rights reserved.\n\nyes\n }\n", 0), 2: ("\nyet\nAll rights reserved!", 2)}
+
+
+def test_op5_leaves_no_exact_repeat(spark):
+    lines = [x.strip(" \t\r") for r in queries.op5_line_dedup(spark, SMALL).collect() for x in (r["text"] or "").split("\n")]
+    lines = [x for x in lines if x]
+    assert len(lines) == len(set(lines))

@@ -2,7 +2,8 @@
 
 A line goes if an earlier one, of any document, lies within edit distance 1.
 Lines are compared without the spaces, tabs and carriage returns around them;
-those under MIN_CHARS characters are never removed.  Earlier means a smaller
+those under MIN_CHARS characters have no neighbours, and go only as exact
+repeats, if they have ``exact_chars`` characters.  Earlier means a smaller
 (doc_id, text hash, line number).
 
 1. Equal lines meet by a 128-bit hash; the earliest occurrence is kept
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Characters from which a line has neighbours at distance 1.
 MIN_CHARS = 24
 MAX_EDITS = 1
 SEGMENTS = 4
@@ -43,10 +45,10 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, exact_chars: int) -> DataFrame:
     """(doc_id, th, pos, line) of the lines that may be removed."""
     rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    return rows.select("doc_id", "th", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    return rows.select("doc_id", "th", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= exact_chars)
 
 
 def _borders(c: Column, q: Column | int) -> tuple[Column, Column]:
@@ -109,13 +111,13 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     return met.where(F.levenshtein("line", "other", MAX_EDITS) >= 0).select("at").distinct()
 
 
-def surviving(docs: DataFrame) -> DataFrame:
+def surviving(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, th, kept_pos): places of each document's surviving lines among
     those that may be removed.  ``docs``: (doc_id, th, text)."""
     scratch = common.Scratch(docs.sparkSession)
-    occ = occurrences(docs)
+    occ = occurrences(docs, min(exact_chars, MIN_CHARS))
     at = F.struct("doc_id", "th", "pos").alias("at")
-    hashed = occ.select(at, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"), rests(F.col("line")).alias("rests"))
+    hashed = occ.select(at, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"), F.when(F.length("line") >= MIN_CHARS, rests(F.col("line"))).alias("rests"))
     first = scratch.table(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.any_value("rests").alias("rests")).select("at", "rests"))
     each = first.select("at", F.posexplode("rests").alias("slot", "rest"))
     shared = each.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rest")
@@ -130,15 +132,17 @@ def surviving(docs: DataFrame) -> DataFrame:
     return kept.select("at.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("kept_pos"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` with the surviving text, and n_lines, n_removed
-    (which replace columns of those names)."""
+    (which replace columns of those names).  Exact repeats go from
+    ``exact_chars`` characters on: with 1, those of every line that is not blank."""
+    exact_chars = max(1, min(exact_chars, MIN_CHARS))
     body = F.col(text).cast("string")
-    kept = surviving(docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th")))
+    kept = surviving(docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th")), exact_chars)
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_row"), F.col(key).alias("_id"), F.xxhash64(body).alias("_th"), F.split(body, "\n", -1).alias("_lines"))
     joined = packed.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left")
-    removable = F.filter(F.transform("_lines", lambda x, i: F.when(F.length(_trimmed(x)) >= MIN_CHARS, i)), lambda i: i.isNotNull())
+    removable = F.filter(F.transform("_lines", lambda x, i: F.when(F.length(_trimmed(x)) >= exact_chars, i)), lambda i: i.isNotNull())
     gone = F.array_sort(F.array_except(removable, F.coalesce("kept_pos", F.array().cast("array<int>"))))
     joined = joined.select("_row", "_lines", gone.alias("_gone"))
     out = {c: F.col(f"_row.`{c}`").alias(c) for c in others} | {text: _without(F.col("_lines"), F.col("_gone")).alias(text)}

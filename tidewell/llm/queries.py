@@ -32,7 +32,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
