@@ -4,7 +4,7 @@ import numpy as np
 
 import public_tokenizers
 from tests.conftest import SMALL
-from tidewell.llm import line_dedup, lm_scoring, queries, toxicity
+from tidewell.llm import line_dedup, lm_scoring, queries, toxicity, url_filter
 
 BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -50,3 +50,19 @@ def test_op5_leaves_no_exact_repeat(spark):
     lines = [x.strip(" \t\r") for r in queries.op5_line_dedup(spark, SMALL).collect() for x in (r["text"] or "").split("\n")]
     lines = [x for x in lines if x]
     assert len(lines) == len(set(lines))
+
+
+def test_all_minimal_rules_are_kept_and_joined(spark, monkeypatch):
+    bad = [f"http://bad.example.com/a/b/c/d?x={i}" for i in range(40)] + [f"http://ok.org/w/x/y/z?n={i}" for i in range(40)]
+    good = [f"http://ok.org/{'/'.join(w for w in 'wxyz' if w != out)}?n={i}" for out in "wxyz" for i in range(40)]
+    labelled = spark.createDataFrame([(u, 1) for u in bad] + [(u, 0) for u in good], "url string, bad int")
+    mined = url_filter.mine_rules(labelled, min_support=0.05, min_confidence=0.9)
+    rules = {tuple(r["tokens"]) for r in mined.collect()}
+    assert ("p:w", "p:x", "p:y", "p:z") in rules and ("h:bad",) in rules
+    assert not any(set(a) < set(b) for a in rules for b in rules)
+    urls = spark.createDataFrame([(1, "https://new.org/z/y/x/w"), (2, "https://new.org/z/y/x"), (3, None), (4, "http://bad.org/"), (4, "http://bad.org/"), (5, "http://ok.org/w")], "page_id int, url string")
+    say = lambda: sorted((r["page_id"], r["verdict"], r["mined_rule"] or "") for r in url_filter.judge(urls, mined, [("none.org/", "block")]).collect())
+    inside = say()
+    assert [v for _, v, _ in inside] == ["block", "allow", "allow", "block", "block", "allow"]
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 1)
+    assert say() == inside

@@ -3,9 +3,10 @@
 Given (host, path) rules decide first: a rule fits its host and all
 subdomains if the path starts with the rule's; the longest wins.  Every other
 url is judged by association rules: FP-growth mines combinations of URL
-tokens from labelled urls, confidence- and support-pruned combinations that
-imply the bad label are kept, and an inverted index from each rule's rarest
-token finds the rules that a url's token set fulfils.
+tokens from labelled urls, all combinations within the support and confidence
+bounds that imply the bad label are kept, but for those a smaller one implies,
+and an inverted index by one token of each rule finds the rules that a url's
+token set fulfils: in the expression, or joined if there are many.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and no tokens, fits no rule and is allowed; repeated rows are judged
@@ -21,11 +22,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most mined rules that are kept, by confidence, then support: this
-#: bounds the index (a rule is at most MAX_TOKENS short tokens).
-MAX_RULES = 1_000
-#: Tokens of a mined combination at most.
-MAX_TOKENS = 3
+from . import common
+
+#: Most mined rules that go into the expression; more are joined.
+EXPRESSION_RULES = 1_000
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 
@@ -77,37 +77,78 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """(tokens, confidence, support) of combinations that imply the bad label.
 
     ``labelled``: (url, bad 0/1), all of whose rows are mined; FP-growth
-    distributes conditional trees by item group, so nothing is collected."""
+    distributes conditional trees by item group, so nothing is collected.  A
+    combination that a smaller rule implies is left out: it fits no other url."""
     baskets = labelled.where(F.col("bad").isNotNull()).select(F.when(F.col("bad") == 1, F.array_append(url_tokens(F.col("url")), F.lit(_BAD))).otherwise(url_tokens(F.col("url"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     sets = model.freqItemsets
     both = sets.where(F.array_contains("items", _BAD)).select(F.array_sort(F.array_remove("items", _BAD)).alias("tokens"), F.col("freq").alias("bad"))
     alone = sets.where(~F.array_contains("items", _BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    rules = both.join(alone, "tokens").where((F.size("tokens") >= 1) & (F.size("tokens") <= MAX_TOKENS))
-    rules = rules.select("tokens", (F.col("bad") / F.col("n")).alias("confidence"), F.col("n").alias("support")).where(F.col("confidence") >= min_confidence)
-    return rules.orderBy(F.desc("confidence"), F.desc("support"), F.array_join("tokens", " ")).limit(MAX_RULES)
-
-
-def index_rules(mined: DataFrame) -> str:
-    """The inverted index as JSON: token -> rules filed under it, by their first
-    token.  It goes into the expression: MAX_RULES bounds it."""
+    rated = both.join(alone, "tokens").where(F.size("tokens") >= 1)
+    rated = common.Scratch(labelled.sparkSession).table(rated.select("tokens", (F.col("bad") / F.col("n")).alias("confidence"), F.col("n").alias("support")))
+    return minimal(rated, min_confidence)
+
+
+def minimal(rated: DataFrame, min_confidence: float) -> DataFrame:
+    """The rules among ``rated`` of which no part is a rule.
+
+    With a set all its parts are in ``rated``, so it is enough to look, from
+    small sets to large, at the parts with one token less."""
+    scratch, is_rule = common.Scratch(rated.sparkSession), F.col("confidence") >= min_confidence
+    largest = rated.where(is_rule).agg(F.max(F.size("tokens")).alias("n")).first()["n"] or 0
+    kept, implied = rated.where(is_rule & (F.size("tokens") == 1)), rated.where(is_rule & (F.size("tokens") == 1)).select("tokens")
+    for n in range(2, largest + 1):
+        level = rated.where(F.size("tokens") == n)
+        part = F.filter("tokens", lambda _, i: i != F.col("i"))
+        parts = level.select("tokens", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("tokens", part.alias("part"))
+        below = scratch.table(parts.join(implied.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct())
+        new = scratch.table(level.where(is_rule).join(below, "tokens", "left_anti"))
+        kept, implied = kept.unionByName(new), below.unionByName(new.select("tokens"))
+    return kept
+
+
+def index_rules(rules: list) -> str:
+    """The inverted index as JSON: token -> rules filed under it, by their first token."""
     index: dict[str, list[list[str]]] = {}
-    for row in mined.limit(MAX_RULES).collect():
+    for row in rules:
         index.setdefault(row["tokens"][0], []).append(list(row["tokens"]))
     return json.dumps(index)
 
 
+def joined_matches(urls: DataFrame, mined: DataFrame) -> DataFrame:
+    """(_url, _mined): the first fulfilled rule of each distinct url.  A rule is
+    filed under its token that the fewest urls have."""
+    tokens = urls.where(F.col("_url").isNotNull()).select("_url").distinct().select("_url", url_tokens(F.col("_url")).alias("_tokens"))
+    each = tokens.select("_url", "_tokens", F.explode("_tokens").alias("_token"))
+    uses = each.groupBy("_token").agg(F.count(F.lit(1)).alias("n"))
+    own = mined.select("tokens", F.explode("tokens").alias("_token")).join(uses, "_token")
+    filed = own.groupBy("tokens").agg(F.min_by("_token", F.struct("n", "_token")).alias("_token"))
+    met = each.join(filed, "_token").where(F.size(F.array_except("tokens", "_tokens")) == 0)
+    return met.groupBy("_url").agg(F.min(F.array_join("tokens", " ")).alias("_mined"))
+
+
+def _in_expression(tokens: Column, rules: list) -> Column:
+    index = F.from_json(F.lit(index_rules(rules)), "map<string,array<array<string>>>")
+    filed = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<array<string>>"))))
+    fulfilled = F.filter(filed, lambda r: F.size(F.array_except(r, tokens)) == 0)
+    return F.array_min(F.transform(fulfilled, lambda r: F.array_join(r, " ")))
+
+
 def judge(urls: DataFrame, mined: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
     """Adds host, path, rule, mined_rule and verdict to ``urls``.
 
-    A mined rule is filed under its first token, so a url meets it once, and
-    only if it has that token."""
-    index = F.from_json(F.lit(index_rules(mined)), "map<string,array<array<string>>>")
+    A mined rule is filed under one token, so a url meets it once, and only if
+    it has that token."""
+    few = mined.select("tokens").limit(EXPRESSION_RULES + 1).collect()
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "mined_rule", "verdict")]
     host, path, tokens = F.col("host"), F.col("path"), F.col("_tokens")
-    judged = urls.select(*own, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), url_tokens(F.col(url_col)).alias("_tokens"))
-    filed = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<array<string>>"))))
-    fulfilled = F.filter(filed, lambda r: F.size(F.array_except(r, tokens)) == 0)
-    judged = judged.select(*own, "host", "path", rule_verdict(host, path, rules).alias("_hit"), F.array_min(F.transform(fulfilled, lambda r: F.array_join(r, " "))).alias("_mined"))
+    judged = urls.select(*own, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), url_tokens(F.col(url_col)).alias("_tokens"), F.col(url_col).alias("_url"))
+    if len(few) > EXPRESSION_RULES:
+        found = joined_matches(urls.select(F.col(url_col).alias("_url")), mined)
+        judged = judged.join(found, "_url", "left")
+        mined_rule = F.col("_mined")
+    else:
+        mined_rule = _in_expression(tokens, few)
+    judged = judged.select(*own, "host", "path", rule_verdict(host, path, rules).alias("_hit"), mined_rule.alias("_mined"))
     verdict = F.when(F.col("_hit").isNotNull(), F.col("_hit.verdict")).when(F.col("_mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(*own, "host", "path", F.col("_hit.rule").alias("rule"), F.when(F.col("_hit").isNull(), F.col("_mined")).alias("mined_rule"), verdict.alias("verdict"))
