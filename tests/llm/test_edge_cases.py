@@ -228,32 +228,3 @@ def test_json_layouts(spark):
     rows = [(1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}'), (2, '{"instruction":"do","input":"x","output":"y"}'), (3, '{"prompt":"p","completion":"c","zz":1}'), (4, '{"conversations":[{"from":"human","value":"v"}]}'), (5, "nope"), (6, None)]
     got = [(r["conv_id"], r["layout"], r["role"], r["text"]) for r in chat_format.json_turns(spark.createDataFrame(rows, "id long, j string"), "id", "j").orderBy("conv_id", "turn").collect()]
     assert got == [(1, "messages", "user", "hi"), (1, "messages", "assistant", "yo"), (2, "instruction_input", "user", "do\nx"), (2, "instruction_input", "assistant", "y"), (3, "prompt_completion", "user", "p"), (3, "prompt_completion", "assistant", "c"), (4, "conversations", "user", "v"), (5, None, None, None), (6, None, None, None)]
-
-
-def test_gradient():
-    rng = np.random.default_rng(0)
-    w = lm_scoring.initial(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)).astype(np.float64)
-    x = rng.integers(0, lm_scoring.CLASSES, (2, lm_scoring.WINDOW))
-    y = rng.integers(0, lm_scoring.CLASSES, x.shape)
-    wanted = rng.random(x.shape) < 0.5
-    loss = lambda v: -lm_scoring.class_scores(lm_scoring.unpack(v), x, y, wanted).mean()
-    g = lm_scoring.gradient(lm_scoring.unpack(w), x, y, wanted)
-    for i in rng.integers(0, len(w), 40):
-        step = np.zeros_like(w)
-        step[i] = 1e-4
-        assert g[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-4, abs=2e-5)
-
-
-def test_windows_score_each_id_once():
-    for n in (1, 47, 48, 49, 80, 81, 500):
-        x, y, wanted = lm_scoring.windows(np.arange(n) % lm_scoring.CLASSES)
-        assert wanted.sum() == n and (y[wanted] == np.arange(n) % lm_scoring.CLASSES).all()
-
-
-def test_attention_is_causal():
-    rng = np.random.default_rng(0)
-    p = lm_scoring.unpack(lm_scoring.initial(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)))
-    x = rng.integers(0, lm_scoring.CLASSES, (1, lm_scoring.WINDOW))
-    z = x.copy()
-    z[0, 20:] = 0
-    assert np.allclose(lm_scoring.attend(p, x)[0][0, :20], lm_scoring.attend(p, z)[0][0, :20])

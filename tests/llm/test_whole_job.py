@@ -1,36 +1,7 @@
 """Every row, line, rule and id takes part."""
 
-import numpy as np
-
-import public_tokenizers
 from tests.conftest import SMALL
-from tidewell.llm import line_dedup, lm_scoring, queries, toxicity, url_filter
-
-BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-
-def test_contexts_count_all_texts(spark):
-    texts = [f"the cat number {i} sat on the mat and the dog {i * 7} ran" for i in range(60)] + ["same copy of the text"] * 40
-    sub, width = lm_scoring.subwords(BYTE), lm_scoring.CONTEXT_CLASSES
-    ids = [sub.ids(lm_scoring.words_of(t)).astype(int) for t in texts]
-    own = lm_scoring.own_classes(np.bincount(np.concatenate(ids), minlength=sub.size), sub.end)
-    want = np.zeros((sub.size, 2 * width))
-    for x in ids:
-        for a, b in zip(x, x[1:]):
-            if 0 <= own[a] < width:
-                want[b, own[a]] += 1
-            if 0 <= own[b] < width:
-                want[a, width + own[b]] += 1
-    assert (lm_scoring.contexts(spark.createDataFrame([(t,) for t in texts], "text string"), BYTE, own) == want).all()
-
-
-def test_model_trains_on_every_text(spark):
-    sub = lm_scoring.subwords(BYTE)
-    class_of = np.arange(sub.size) % lm_scoring.CLASSES
-    start = lm_scoring.initial(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
-    for text in ("alpha beta", "a short text", "one window of words", None):
-        weights = lm_scoring.train(spark.createDataFrame([(text,)], "text string"), BYTE, class_of, start)
-        assert (weights != start).any()
+from tidewell.llm import line_dedup, queries, toxicity, url_filter
 
 
 def test_rare_and_quoted_marks_are_learnt(spark):

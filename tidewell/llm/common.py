@@ -6,6 +6,7 @@ returns table-sized data to the driver.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -25,6 +26,14 @@ class Scratch(Tables):
     def table(self, df: DataFrame) -> DataFrame:
         return self.write(df)
 
+    def parted(self, df: DataFrame, by: str) -> DataFrame:
+        """As ``table``, in a folder for each value of a column, so that a read of one value reads no other."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.partitionBy(by).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
 
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
     """Small slices of a batch, so that few texts exist as Python objects at once."""

@@ -5,17 +5,24 @@ Their counts over all training texts are a distributed table.  The words of
 the highest counts (BROADCAST_WORDS at most) are broadcast; the rest of a
 text's words meet the table by a join on the word.
 
-The model scores the subword ids of the same words and an end id.  An id's
-probability is that of its class in context times that of the id in its
-class.  The second factor comes from the id counts of all training texts.
-The end and the most frequent ids have classes of their own; the others are
-clustered by the frequent ids beside them, counted in all training texts.
-The first factor is a causal self-attention layer, trained in numpy: every
-task runs Adam over all windows of its texts, so over each id once, from
-common initial weights, and the weights are averaged by tokens.  A text
-is scored in windows of WINDOW ids that overlap by OVERLAP; masked attention
-runs over batches of windows, and each id is scored once, in the first window
-that holds it.
+The model predicts the subword ids of the same words and an end id.  Its input
+are the embeddings of the ids before; one causal self-attention layer with a
+bias for each distance gives a hidden vector, from which a softmax gives the
+class of the next id and another one the id in its class.  The classes are
+clusters of about equal neighbours, counted in all training texts.  Ids that
+no training text has share the weight of one token.
+
+Training covers every id of every training text once or more: texts are cut
+into blocks of BLOCK ids, equal blocks count once with their number as weight,
+and blocks are dealt by hash to rounds and shards of about SHARD_IDS ids.  In
+a round each shard runs Adam over its blocks in hash order from the same
+state, and the states are averaged by ids.  Neither the number nor the
+order of the input partitions enters.  Where there are fewer than SHARD_IDS
+ids, all rounds are run again, up to MAX_PASSES times.
+
+A text is scored in windows of WINDOW ids that overlap by OVERLAP; masked
+attention runs over batches of windows, and each id is scored once, in the
+first window that holds it.
 
 Defined results: a null text is an empty one, scored as an end alone; repeated
 rows score alike; a null doc_id counts as empty text in the fold; no training
@@ -38,21 +45,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, OVERLAP = 48, 8
+WINDOW, OVERLAP = 32, 6
 STRIDE = WINDOW - OVERLAP
-DIM, CLASSES = 16, 96
-#: The most frequent ids that have a class each, besides the end.
-OWN_CLASSES = 63
-#: Of these the first ones tell the context of an id, on either side.
-CONTEXT_CLASSES, CLUSTER_ROUNDS = 32, 12
-BATCH, SCORE_BATCH, RATE = 64, 32, 0.01
-#: Steps of a task at least, by going over its windows again.
-MIN_STEPS = 200
+DIM = 24
+#: Ids of a training block, a number of windows.
+BLOCK = 8 * WINDOW
+#: Ids that one shard learns from, about; rounds of a pass; passes over fewer ids at most.
+SHARD_IDS, ROUNDS, MAX_PASSES = 8_000_000, 4, 10
+#: Windows of a step and of a scoring batch; greatest learning rate; steps until it is reached.
+BATCH, SCORE_BATCH, RATE, WARM_STEPS = 128, 256, 0.015, 20
+#: The most frequent ids, whose uses on either side tell an id's class.
+CONTEXT_IDS, CLUSTER_ROUNDS = 64, 12
 #: Pairs of neighbours that are counted at a time.
 COUNT_PAIRS = 2_000_000
 BROADCAST_WORDS = 200_000
 FLUSH_WORDS = 300_000
 CACHE_WORDS = 300_000
+#: Weights of a row on their way to the driver.
+CHUNK = 1 << 16
 #: The end of a text as a counted token; no word holds a line break.
 END = "\n"
 SEED = 7
@@ -68,10 +78,8 @@ class Subwords(dict):
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = max(table.values()) + 1
         self.size = self.end + 1
-        if self.size > 1 << 16:
+        if self.size >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.starts_word = np.zeros(self.size, bool)
-        self.starts_word[[i for t, i in table.items() if t.startswith(b" ")]] = True
         self._encode = tiktoken.Encoding("subwords", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: bytes) -> bytes:
@@ -84,8 +92,10 @@ class Subwords(dict):
         ids = self._encode(b" " + word)
         return struct.pack(f"<{len(ids)}H", *ids)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2"), np.uint16(self.end))
+    def framed(self, words: list[bytes]) -> bytes:
+        """The packed ids of a text between two end ids."""
+        end = struct.pack("<H", self.end)
+        return b"".join([end, *map(self.__getitem__, words), end])
 
 
 @functools.cache
@@ -99,128 +109,234 @@ def words_of(text: str | None) -> list[bytes]:
 
 # --- the attention model ------------------------------------------------------
 
-SHAPES = {"embed": (CLASSES + 1, DIM), "place": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "mix": (DIM, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,)}
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = math.prod(shape)
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
-
-
-def initial(class_share: np.ndarray) -> np.ndarray:
-    """Small random weights; the bias starts at the classes' log shares."""
-    rng = np.random.default_rng(SEED)
-    parts = [rng.standard_normal(s).ravel() * (0.3 if n in ("embed", "qkv") else 0.1) for n, s in SHAPES.items() if n != "bias"]
-    return np.concatenate([*parts, np.log(class_share)]).astype(np.float32)
+class Vocabulary:
+    """The ids that training texts use, numbered by falling count, and their classes.
+
+    ``number`` gives an id's number; ids without a count share the number after
+    the last.  ``row`` orders the numbers by class, so that a class is a range
+    of rows of the output layer."""
+
+    def __init__(self, counts: np.ndarray, end: int, class_of: np.ndarray | None = None):
+        counts = counts.copy()
+        self.total = int(counts.sum())
+        counts[end] = max(counts[end], 1)
+        used = np.flatnonzero(counts)
+        self.used = used[np.lexsort((used, -counts[used]))]
+        self.n = counts[self.used].astype(np.float64)
+        self.size = len(used)
+        self.number = np.full(len(counts), self.size, np.uint16)
+        self.number[self.used] = np.arange(self.size)
+        self.begin = int(self.number[end])
+        self.classes(np.zeros(self.size, np.int64) if class_of is None else class_of)
+        #: Ids without a count have a share of one count in all, in equal parts.
+        spare = len(counts) - self.size
+        self.log_used = math.log1p(-1.0 / (self.total + 2)) if spare else 0.0
+        self.log_unused = -math.log(self.total + 2) - math.log(max(spare, 1))
+
+    def classes(self, class_of: np.ndarray) -> None:
+        self.class_of = np.unique(class_of, return_inverse=True)[1].reshape(-1)
+        by_class = np.argsort(self.class_of, kind="stable")
+        self.row = np.zeros(self.size + 1, np.uint16)
+        self.row[by_class] = np.arange(self.size)
+        self.class_of_row = self.class_of[by_class].astype(np.uint16)
+        self.first = np.searchsorted(self.class_of_row, np.arange(self.class_of_row[-1] + 2)).tolist()
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        """The weights: the last column of ``cls`` and ``row`` is the bias."""
+        return {"embed": (self.size + 1, DIM), "lag": (WINDOW,), "qkv": (DIM, 3 * DIM), "mix": (DIM, DIM), "cls": (len(self.first) - 1, DIM + 1), "row": (self.size, DIM + 1)}
+
+    def unpack(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes().items():
+            n = math.prod(shape)
+            out[name] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
+
+    def initial(self) -> np.ndarray:
+        """Small random weights; biases start at the log counts, and the last ids weigh more."""
+        rng = np.random.default_rng(SEED)
+        scale = {"embed": 0.3, "qkv": DIM**-0.5, "mix": 0.3 * DIM**-0.5, "cls": 0.1, "row": 0.1, "lag": 0.0}
+        flat = np.concatenate([rng.standard_normal(s).ravel() * scale[k] for k, s in self.shapes().items()]).astype(np.float32)
+        p = self.unpack(flat)
+        p["qkv"][:, :DIM] *= DIM**-0.5
+        p["lag"][:2] = 1
+        p["cls"][:, DIM] = np.log(np.bincount(self.class_of, self.n))
+        p["row"][self.row[:-1], DIM] = np.log(self.n)
+        return flat
+
+
+_CAUSAL = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_LAG = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0, None)
 
 
 def attend(p: dict, x: np.ndarray) -> tuple:
-    """Hidden vectors of windows of class numbers, with what the gradient needs."""
+    """Hidden vectors of windows of id numbers, with what the gradient needs."""
     b = len(x)
-    h = p["embed"][x] + p["place"]
-    qkv = h.reshape(-1, DIM) @ p["qkv"]
-    q, k, v = (np.ascontiguousarray(qkv[:, i * DIM : (i + 1) * DIM]).reshape(b, WINDOW, DIM) for i in range(3))
-    s = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
-    s += _MASK
+    h0 = p["embed"][x.ravel()]
+    qkv = h0 @ p["qkv"]
+    q, k, v = (qkv[:, i * DIM : (i + 1) * DIM].reshape(b, WINDOW, DIM) for i in range(3))
+    bias = p["lag"][_LAG] + _CAUSAL
+    s = q @ k.transpose(0, 2, 1)
+    s += bias
     with np.errstate(over="ignore"):
         np.exp(s, out=s)
     z = s.sum(-1, keepdims=True)
     if not np.isfinite(z).all():  # scores beyond the range of exp: shifted by each row's greatest
-        s = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1) + _MASK
+        s = q @ k.transpose(0, 2, 1) + bias
         s = np.exp(s - s.max(-1, keepdims=True))
         z = s.sum(-1, keepdims=True)
-    o = (s @ v) / z
-    return h + (o.reshape(-1, DIM) @ p["mix"]).reshape(b, WINDOW, DIM), (h, q, k, v, s, z, o)
-
-
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(-1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(-1, keepdims=True))
-
-
-def class_scores(p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes y at the wanted places of the windows x."""
+    o = s @ v
+    o /= z
+    o = o.reshape(-1, DIM)
+    h = np.empty((len(h0), DIM + 1), np.result_type(o))
+    h[:, DIM] = 1
+    np.matmul(o, p["mix"], out=h[:, :DIM])
+    h[:, :DIM] += h0
+    return h, (h0, q, k, v, s, z, o)
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of column ``at`` of each row, sums); ``logits`` become their exponentials."""
+    if logits.max() > 60 or logits.min() < -60:
+        logits -= logits.max(1, keepdims=True)
+    chosen = logits[np.arange(len(logits)), at]
+    np.exp(logits, out=logits)
+    total = logits.sum(1)
+    return chosen - np.log(total), total
+
+
+def predict(vocab: Vocabulary, p: dict, h: np.ndarray, y: np.ndarray, learn: dict | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probabilities of the output rows y, which come sorted: of the class times that in the class.
+
+    With ``learn`` (gradient views), also the gradient of the weighted loss by h."""
+
+    def asked(h, rows, at, weight):
+        logits = h @ rows.T
+        found, total = _softmax(logits, at)
+        if learn is None:
+            return found, None
+        logits /= total[:, None]
+        logits[np.arange(len(at)), at] -= 1
+        if weight is not None:
+            logits *= weight[:, None]
+        return found, logits
+
+    cls = vocab.class_of_row[y]
+    out, d = asked(h, p["cls"], cls, weight)
+    dh = None
+    if learn is not None:
+        learn["cls"][:] = d.T @ h
+        dh = d @ p["cls"]
+    cut = np.searchsorted(cls, np.arange(len(vocab.first))).tolist()
+    for i, j, a, b in zip(cut, cut[1:], vocab.first, vocab.first[1:]):
+        if i == j or b - a == 1:
+            continue
+        found, d = asked(h[i:j], p["row"][a:b], y[i:j] - a, None if weight is None else weight[i:j])
+        out[i:j] += found
+        if learn is not None:
+            learn["row"][a:b] = d.T @ h[i:j]
+            dh[i:j] += d @ p["row"][a:b]
+    return out, dh
+
+
+def log_probabilities(vocab: Vocabulary, p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Natural log probability of each output row y at the wanted places of the windows x; 0 elsewhere."""
     h, _ = attend(p, x)
-    logits = h[wanted] @ p["out"]
-    logits += p["bias"]
-    at = np.arange(len(logits)), y[wanted]
-    chosen = logits[at]
-    with np.errstate(over="ignore"):
-        total = np.exp(logits).sum(-1)
-    return chosen - np.log(total) if np.isfinite(total).all() else log_softmax(logits)[at]
+    at = np.flatnonzero(wanted)
+    at = at[np.argsort(y.ravel()[at], kind="stable")]
+    out = np.zeros(y.size)
+    out[at] = predict(vocab, p, h[at], y.ravel()[at])[0]
+    return out.reshape(y.shape)
 
 
-def gradient(p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Flat gradient of the mean loss over the wanted places."""
+def gradient(vocab: Vocabulary, flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Flat gradient of the weighted mean loss; a place of weight 0 is not asked."""
+    p, out = vocab.unpack(flat), np.zeros_like(flat)
+    g, b = vocab.unpack(out), len(x)
     h, (h0, q, k, v, s, z, o) = attend(p, x)
-    n = max(1, int(wanted.sum()))
-    d_logits = (h.reshape(-1, DIM) @ p["out"]).reshape(*x.shape, CLASSES)
-    d_logits += p["bias"]
-    d_logits -= d_logits.max(-1, keepdims=True)
-    np.exp(d_logits, out=d_logits)
-    d_logits /= d_logits.sum(-1, keepdims=True)
-    rows, cols = np.nonzero(wanted)
-    d_logits[rows, cols, y[rows, cols]] -= 1
-    d_logits *= wanted[..., None] / np.float32(n)
-    flat_h, flat_d = h.reshape(-1, DIM), d_logits.reshape(-1, CLASSES)
-    g = {"out": flat_h.T @ flat_d, "bias": flat_d.sum(0)}
-    dh = (flat_d @ p["out"].T).reshape(h.shape)
-    g["mix"] = o.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    do = dh @ p["mix"].T
-    a = s / z
-    dv = a.transpose(0, 2, 1) @ do
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-    d_qkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=-1).reshape(-1, 3 * DIM)
-    g["qkv"] = h0.reshape(-1, DIM).T @ d_qkv
-    dh0 = dh + (d_qkv @ p["qkv"].T).reshape(dh.shape)
-    g["place"] = dh0.sum(0)
-    g["embed"] = (np.arange(CLASSES + 1)[:, None] == x.ravel()).astype(dh0.dtype) @ dh0.reshape(-1, DIM)
-    return np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
+    at = np.flatnonzero(weight)
+    at = at[np.argsort(y.ravel()[at], kind="stable")]
+    w = weight.ravel()[at].astype(flat.dtype)
+    dh = np.zeros((len(h0), DIM), flat.dtype)
+    dh[at] = predict(vocab, p, h[at], y.ravel()[at], g, w if w.max(initial=1) > 1 else None)[1][:, :DIM]
+    g["mix"][:] = o.T @ dh
+    do = (dh @ p["mix"].T).reshape(b, WINDOW, DIM)
+    s /= z
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (do.reshape(-1, DIM) * o).sum(1).reshape(b, WINDOW, 1)
+    ds *= s
+    g["lag"][:] = np.bincount(_LAG.ravel(), ds.sum(0).ravel(), WINDOW)
+    d_qkv = np.empty((len(h0), 3 * DIM), flat.dtype)
+    d_qkv[:, :DIM] = (ds @ k).reshape(-1, DIM)
+    d_qkv[:, DIM : 2 * DIM] = (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    d_qkv[:, 2 * DIM :] = (s.transpose(0, 2, 1) @ do).reshape(-1, DIM)
+    g["qkv"][:] = h0.T @ d_qkv
+    dh += d_qkv @ p["qkv"].T
+    order = np.argsort(x.ravel(), kind="stable")
+    ids = x.ravel()[order]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g["embed"][ids[starts]] = np.add.reduceat(dh[order], starts, axis=0)
+    out /= max(w.sum(), 1)
+    return out
 
 
 class Adam:
-    def __init__(self, flat: np.ndarray):
-        self.w, self.m, self.v, self.t = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
+    """Adam from a state: weights and both moments in a row, and the steps behind it."""
+
+    def __init__(self, vocab: Vocabulary, state: np.ndarray, steps: int, rate: float):
+        self.vocab, self.rate, self.state, self.t, self.seen = vocab, rate, state.copy(), steps, 0
+        self.w, self.m, self.v = self.state.reshape(3, -1)
 
-    def step(self, x, y, wanted) -> None:
-        g = gradient(unpack(self.w), x, y, wanted)
+    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        g = gradient(self.vocab, self.w, x, y, weight)
         self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        rate = RATE * min(1, self.t / 20) / math.sqrt(1 + self.t / 200)
-        self.w -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
-
-
-def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, places scored) of one text's classes, in overlapping windows."""
-    n = len(classes)
-    m = 1 if n <= WINDOW else 1 + -(-(n - WINDOW) // STRIDE)
-    at = (np.arange(m) * STRIDE)[:, None] + np.arange(WINDOW)
-    y = np.zeros((m - 1) * STRIDE + WINDOW, np.int64)
-    y[:n] = classes
-    x = np.concatenate([[CLASSES], y[:-1]])
-    wanted = at < n
-    wanted[1:, :OVERLAP] = False
-    return x[at], y[at], wanted
-
-
-def score_ids(flat: np.ndarray, class_of: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each text's class sequence, in batches of windows."""
-    p = unpack(flat)
-    each = [windows(class_of[i]) for i in ids]
-    x, y, wanted = (np.concatenate(part) for part in zip(*each))
-    owner = np.repeat(np.arange(len(ids)), [len(e[0]) for e in each])
-    total = np.zeros(len(ids))
-    for at in range(0, len(x), SCORE_BATCH):
-        rows = slice(at, at + SCORE_BATCH)
-        found = class_scores(p, x[rows], y[rows], wanted[rows])
-        total += np.bincount(np.repeat(owner[rows], wanted[rows].sum(1)), found, len(ids))
+        self.seen += int(weight.sum())
+        self.m += np.float32(0.1) * (g - self.m)
+        np.square(g, out=g)
+        g -= self.v
+        g *= np.float32(0.01)
+        self.v += g
+        np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(self.rate * min(1, self.t / WARM_STEPS) / (1 - 0.9**self.t))
+        self.w -= g
+
+
+def block_windows(vocab: Vocabulary, blocks: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, output rows, weights) of the windows of blocks, which do not overlap."""
+    ids = vocab.number[np.frombuffer(b"".join(x.ljust(2 * BLOCK + 2, b"\0") for x in blocks), "<u2").reshape(-1, BLOCK + 1)]
+    n = np.fromiter(map(len, blocks), np.int64, len(blocks)) // 2 - 1
+    asked = np.where(np.arange(BLOCK) < n[:, None], weight[:, None], 0)
+    x, y, asked = (a.reshape(-1, WINDOW) for a in (ids[:, :-1], vocab.row[ids[:, 1:]], asked))
+    some = asked[:, 0] > 0
+    return x[some], y[some], asked[some]
+
+
+def score_texts(vocab: Vocabulary, flat: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Natural log probability of each framed text, in batches of windows that overlap."""
+    p = vocab.unpack(flat)
+    n = np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+    number = vocab.number[np.frombuffer(b"".join(texts) + bytes(2 * WINDOW), "<u2")]
+    first = np.cumsum(n) - n
+    targets = n - 1
+    m = 1 + np.maximum(0, -(-(targets - WINDOW) // STRIDE))
+    owner = np.repeat(np.arange(len(n)), m)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+    total, places = np.zeros(len(n)), np.arange(WINDOW)
+    for at in range(0, len(owner), SCORE_BATCH):
+        own, k = owner[at : at + SCORE_BATCH], nth[at : at + SCORE_BATCH]
+        here = k[:, None] * STRIDE + places
+        wanted = here < targets[own][:, None]
+        wanted[k > 0, :OVERLAP] = False
+        ids = number[(first[own] + k * STRIDE)[:, None] + np.arange(WINDOW + 1)]
+        used = ids[:, 1:] < vocab.size
+        found = log_probabilities(vocab, p, ids[:, :-1], vocab.row[ids[:, 1:]], wanted & used)
+        each = found.sum(1) + (wanted & used).sum(1) * vocab.log_used + (wanted & ~used).sum(1) * vocab.log_unused
+        total += np.bincount(own, each, len(n))
     return total
 
 
@@ -275,136 +391,139 @@ def id_counts(counts: DataFrame, ranks: str) -> np.ndarray:
     return out
 
 
-def own_classes(n: np.ndarray, end: int) -> np.ndarray:
-    """Class of the end and of the most frequent ids, in that order; -1 for the others."""
-    order = np.lexsort((np.arange(len(n)), -n))
-    cls = np.full(len(n), -1, np.int64)
-    cls[np.concatenate([[end], order[order != end]])[: OWN_CLASSES + 1]] = np.arange(OWN_CLASSES + 1)
-    return cls
-
+def contexts(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """For each id number, how often each of the first CONTEXT_IDS numbers comes before and after it.
 
-def contexts(training: DataFrame, ranks: str, own: np.ndarray) -> np.ndarray:
-    """For each id, how often each of the first CONTEXT_CLASSES classes comes before and after it.
-
-    A task sends a short row per id it met; the driver gets one per id."""
-    near = np.where(own < CONTEXT_CLASSES, own, -1).astype(np.int16)
-    width = 2 * CONTEXT_CLASSES
+    ``training``: framed ids.  A task sends a short row per number it met; the driver gets one per number."""
+    width = 2 * CONTEXT_IDS
 
     def count(batches):
-        sub = subwords(ranks)
-        total, keys, held = np.zeros(sub.size * width, np.int32), [], 0
+        total, keys, held = np.zeros(vocab.size * width, np.int64), [], 0
 
         def add_up():
             nonlocal keys, held
             if keys:
-                total[:] += np.bincount(np.concatenate(keys), minlength=len(total)).astype(np.int32)
+                total[:] += np.bincount(np.concatenate(keys), minlength=len(total))
             keys, held = [], 0
 
         for batch in batches:
-            for part in common.slices(batch):
-                for t in part.column(0).to_pylist():
-                    ids = sub.ids(words_of(t)).astype(np.int64)
-                    for at, beside, shift in ((ids[1:], near[ids[:-1]], 0), (ids[:-1], near[ids[1:]], CONTEXT_CLASSES)):
-                        some = beside >= 0
-                        keys.append(at[some] * width + beside[some] + shift)
-                        held += len(keys[-1])
-                    if held >= COUNT_PAIRS:
-                        add_up()
+            for raw in batch.column(0).to_pylist():
+                x = vocab.number[np.frombuffer(raw, "<u2")].astype(np.int64)
+                before, after = x[:-1], x[1:]
+                for at, beside, shift in ((after, before, 0), (before, after, CONTEXT_IDS)):
+                    some = beside < CONTEXT_IDS
+                    keys.append(at[some] * width + beside[some] + shift)
+                    held += len(keys[-1])
+                if held >= COUNT_PAIRS:
+                    add_up()
         add_up()
-        rows = total.reshape(sub.size, width)
+        rows = total.reshape(-1, width)
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([r.tobytes() for r in rows[used]], pa.binary())], ["id", "counts"])
 
+    out = np.zeros((vocab.size, width))
+    for r in _summed(common.bounded(training).mapInArrow(count, "id long, counts binary"), "id", "counts", "<i8").collect():
+        out[r["id"]] = np.frombuffer(r["counts"], "<i8")
+    return out
+
+
+def _summed(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
+    """One row per key, with the sum of its packed vectors."""
+
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[i] = total.get(i, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["id", "counts"])
-
-    summed = common.bounded(training.select("text")).mapInArrow(count, "id long, counts binary").repartition("id").mapInArrow(add, "id long, counts binary")
-    out = np.zeros((len(own), width))
-    for r in summed.collect():
-        out[r["id"]] = np.frombuffer(r["counts"], np.int64)
+                total[i] = total.get(i, 0) + np.frombuffer(raw, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], [key, value])
+
+    return rows.select(key, value).repartition(key).mapInArrow(add, f"{key} long, {value} binary")
+
+
+def clusters(n: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """A class for each id: k-means of the square roots of their context shares,
+    around the most frequent ids; a class takes at most twice the mean number."""
+    k = max(1, round(math.sqrt(len(n))))
+    room = np.full(k, 2 * -(-len(n) // k))
+    x = np.sqrt((beside + 1e-3) / (beside + 1e-3).sum(1, keepdims=True)).astype(np.float32)
+    centres = x[:k].copy()
+    for _ in range(CLUSTER_ROUNDS):
+        nearest = (2 * x @ centres.T - (centres * centres).sum(1)).argmax(1)
+        weight = np.bincount(nearest, n, k)
+        for j in np.flatnonzero(weight):
+            centres[j] = n[nearest == j] @ x[nearest == j] / weight[j]
+    out = np.zeros(len(n), np.int64)
+    for i, v in enumerate(x):  # the most frequent ids choose first
+        near = 2 * centres @ v - (centres * centres).sum(1)
+        out[i] = int(np.where(room > 0, near, -np.inf).argmax())
+        room[out[i]] -= 1
     return out
 
 
-def id_classes(n: np.ndarray, own: np.ndarray, starts_word: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each id, log probability of the id in its class, share of each class).
-
-    Ids that start a word and those that go on one are clustered apart, by the
-    square roots of their context shares, around the most frequent ones; the
-    last cluster of either kind takes the ids without context."""
-    smooth, cls, at = n + 1.0, own.copy(), OWN_CLASSES + 1
-    bins = CLASSES - at
-    loose = own < 0
-    share = smooth[loose & starts_word].sum() / max(smooth[loose].sum(), 1e-9)
-    first = min(bins - 2, max(2, round(bins * share)))
-    for kind, k in ((starts_word, first), (~starts_word, bins - first)):
-        ids = np.flatnonzero(loose & kind)
-        total = beside[ids].sum(1)
-        cls[ids] = at + k - 1
-        ids, total = ids[total > 0], total[total > 0]
-        x, mass = np.sqrt(beside[ids] / total[:, None]), smooth[ids]
-        centres = x[np.argsort(-mass, kind="stable")[: k - 1]]
-        for _ in range(CLUSTER_ROUNDS if len(ids) else 0):
-            nearest = (2 * x @ centres.T - (centres * centres).sum(1)).argmax(1)
-            weight = np.bincount(nearest, mass, len(centres))
-            for j in np.flatnonzero(weight):
-                centres[j] = mass[nearest == j] @ x[nearest == j] / weight[j]
-            cls[ids] = at + nearest
-        at += k
-    total = np.bincount(cls, smooth, CLASSES)
-    return cls, np.log(smooth) - np.log(total[cls]), (total + 1e-9) / (total + 1e-9).sum()
-
-
-def train(training: DataFrame, ranks: str, class_of: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Weights averaged over the tasks that saw windows, by the ids they saw."""
-    shared = training.sparkSession.sparkContext.broadcast((class_of.astype(np.uint8), start))
-
-    def run(batches):
-        class_of, start = shared.value
-        class_of, sub, model = class_of.astype(np.int64), subwords(ranks), Adam(start)
-        rng, rest, kept, seen = np.random.default_rng(SEED), None, [], 0
-
-        for batch in batches:
-            for part in common.slices(batch):
-                each = [windows(class_of[sub.ids(words_of(t))]) for t in part.column(0).to_pylist()]
-                if rest is not None:
-                    each.append(rest)
-                x, y, wanted = (np.concatenate(p) for p in zip(*each))
-                order = rng.permutation(len(x))  # a text's windows are dealt over several steps
-                full = len(x) - len(x) % BATCH
-                for at in range(0, full, BATCH):
-                    i = order[at : at + BATCH]
-                    step = x[i], y[i], wanted[i]
-                    model.step(*step)
-                    seen += int(step[2].sum())
-                    if model.t < MIN_STEPS:
-                        kept.append(step)
-                    else:
-                        kept = []
-                i = order[full:]
-                rest = x[i], y[i], wanted[i]
-        if rest is not None and len(rest[0]):
-            model.step(*rest)
-            seen += int(rest[2].sum())
-            kept.append(rest)
-        if model.t < MIN_STEPS and kept:
-            x, y, wanted = (np.concatenate(p) for p in zip(*kept))
-            while model.t < MIN_STEPS:
-                i = rng.integers(0, len(x), min(BATCH, len(x)))
-                model.step(x[i], y[i], wanted[i])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.w.tolist()], pa.list_(pa.float32()))], ["n", "w"])
-
-    models = common.bounded(training.select("text")).mapInArrow(run, "n long, w array<float>")
-    mean = models.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
-    out = start.copy()
-    for r in mean.collect():  # as many rows as the model has weights
-        out[r["i"]] = r["w"]
-    shared.unpersist()
-    return out
+def training_blocks(training: DataFrame, scratch: common.Scratch, shards: int) -> DataFrame:
+    """(block, weight, shard, round): blocks of the framed ids with the id before
+    each, equal ones once with their number; written in a folder for each round."""
+    targets = (F.length("ids") / 2 - 1).cast("long")
+    cut = training.select("ids", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((targets - 1) / BLOCK))).alias("i"))
+    block = F.substring("ids", F.lit(2 * BLOCK) * F.col("i").cast("int") + 1, F.lit(2 * BLOCK + 2)).alias("block")
+    once = cut.select(block).groupBy("block").agg(F.count(F.lit(1)).alias("weight"))
+    dealt = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "block"), F.lit(n)).cast("int")
+    return scratch.parted(once.select("block", "weight", dealt("shard", shards).alias("shard"), dealt("round", ROUNDS).alias("round")), "round")
+
+
+def train(training: DataFrame, vocab: Vocabulary, scratch: common.Scratch) -> np.ndarray:
+    """Weights learnt from all framed ids: in each round the shards' weights are averaged by ids."""
+    flat = vocab.initial()
+    if not vocab.total:
+        return flat
+    state, steps = np.concatenate([flat, np.zeros(2 * len(flat), np.float32)]), 0
+    shards = -(-vocab.total // SHARD_IDS)
+    rounds = ROUNDS * min(MAX_PASSES, max(1, SHARD_IDS // vocab.total))
+    blocks = training_blocks(training, scratch, shards)
+    spark = training.sparkSession
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast((vocab, state, steps, RATE * (1 - r / rounds)))
+
+        def run(batches):
+            vocab, state, steps, rate = shared.value
+            total, model, shard, rest = np.zeros(len(state) + 2), None, None, None
+
+            def end():
+                if model is not None:
+                    if rest is not None and len(rest[0]):
+                        model.step(*rest)
+                    total[:] += model.seen * np.append(model.state.astype(np.float64), [model.t, 1])
+
+            for batch in batches:
+                of = batch.column(2).to_numpy()
+                cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i == j:
+                        continue
+                    if of[i] != shard:
+                        end()
+                        shard, model, rest = of[i], Adam(vocab, state, steps, rate), None
+                    part = block_windows(vocab, batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_numpy())
+                    x, y, w = part if rest is None else (np.concatenate(z) for z in zip(rest, part))
+                    full = len(x) - len(x) % BATCH
+                    for at in range(0, full, BATCH):
+                        model.step(x[at : at + BATCH], y[at : at + BATCH], w[at : at + BATCH])
+                    rest = x[full:], y[full:], w[full:]
+            end()
+            if total[-1]:
+                parts = [total[at : at + CHUNK].tobytes() for at in range(0, len(total), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["part", "sums"])
+
+        mine = blocks.where(F.col("round") == r % ROUNDS).select("block", "weight", "shard")
+        dealt = mine.repartition(3 * shards, "shard").sortWithinPartitions("shard", F.xxhash64("block"), "block")
+        found = _summed(common.bounded(dealt).mapInArrow(run, "part long, sums binary"), "part", "sums", "<f8").collect()
+        if found:
+            whole = np.concatenate([np.frombuffer(f["sums"], "<f8") for f in sorted(found, key=lambda f: f["part"])])
+            whole /= whole[-1]
+            state, steps = whole[:-2].astype(np.float32), round(whole[-2])
+        shared.unpersist()
+    scratch.drop(blocks)
+    return state[: len(flat)]
 
 
 def frequent(counts: DataFrame) -> dict[str, int]:
@@ -419,51 +538,62 @@ def frequent(counts: DataFrame) -> dict[str, int]:
     return {r["word"]: r["c"] for r in counts.where(F.col("c") >= least).collect()}
 
 
-def score(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    spark, scratch = docs.sparkSession, common.Scratch(docs.sparkSession)
-    rows = _fold(docs, key, text)
-    training = rows.where(~F.col("held_out"))
-    counts = scratch.table(word_counts(training))
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    floor = math.log10(1.0 / (size["n"] + size["v"] + 1))
-    n = id_counts(counts, ranks)
-    sub = subwords(ranks)
-    own = own_classes(n, sub.end)
-    class_of, in_class, share = id_classes(n, own, sub.starts_word, contexts(training, ranks, own))
-    weights = train(training, ranks, class_of, initial(share))
+def read_texts(docs: DataFrame, counts: DataFrame, ranks: str, key: str, text: str) -> DataFrame:
+    """(doc_id, held_out, row, n_tokens, n_known, base, rare, ids) of every text: what the
+    broadcast words give of the base, the other words, the framed ids."""
+    rows = _fold(docs, key, text).select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
     known = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in frequent(counts).items()}
-    shared = spark.sparkContext.broadcast((known, class_of.astype(np.uint8), in_class, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        known, class_of, in_class, weights = shared.value
-        class_of, sub = class_of.astype(np.int64), subwords(ranks)
+        known, sub = shared.value, subwords(ranks)
         for batch in batches:
             for part in common.slices(batch):
                 n_tokens, n_known, base, rare, ids = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     words = words_of(t)
-                    ids.append(sub.ids(words))
+                    ids.append(sub.framed(words))
                     words.append(b"\n")
                     found = list(map(known.get, words))
-                    missing = [w for w, c in zip(words, found) if c is None]
+                    missing = [w for w, c in zip(words, found) if c is None] if None in found else []
                     n_tokens.append(len(words))
                     n_known.append(len(words) - len(missing))
-                    base.append(math.fsum(c for c in found if c is not None))
+                    base.append(math.fsum(filter(None, found)))
                     rare.append([w.decode("utf-8", "surrogatepass") for w in missing])
-                total = score_ids(weights, class_of, ids) + np.array([in_class[i].sum() for i in ids])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.string())), pa.array(total / math.log(10), pa.float64())],
-                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "rare", "score"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.string())), pa.array(ids, pa.binary())],
+                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "rare", "ids"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tagged = rows.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
-    scored = scratch.table(common.bounded(tagged).mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, rare array<string>, score double"))
-    met = scored.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("k"))
-    out = scored.drop("rare").join(met, "row", "left")
+    return common.bounded(rows).mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, rare array<string>, ids binary")
+
+
+def score(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
+    spark, scratch = docs.sparkSession, common.Scratch(docs.sparkSession)
+    counts = scratch.table(word_counts(_fold(docs, key, text).where(~F.col("held_out"))))
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    floor = math.log10(1.0 / (size["n"] + size["v"] + 1))
+    texts = scratch.table(read_texts(docs, counts, ranks, key, text))
+    training = texts.where(~F.col("held_out")).select("ids")
+    vocab = Vocabulary(id_counts(counts, ranks), subwords(ranks).end)
+    vocab.classes(clusters(vocab.n, contexts(training, vocab)))
+    shared = spark.sparkContext.broadcast((vocab, train(training, vocab, scratch)))
+
+    def run(batches):
+        vocab, flat = shared.value
+        for batch in batches:
+            for part in common.slices(batch):
+                total = score_texts(vocab, flat, part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(total / math.log(10), pa.float64())], [*part.schema.names[1:], "score"])
+
+    own = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in own)
+    scored = common.bounded(texts.select("ids", *own)).mapInArrow(run, f"{kinds}, score double")
+    met = texts.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("k"))
     zero = F.lit(0)
-    return out.select(
+    return scored.join(met, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
