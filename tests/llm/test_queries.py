@@ -13,6 +13,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SMALL, same_rows
 from tidewell.llm import near_dedup, packing, queries, url_filter
 
@@ -35,16 +37,60 @@ def test_op2(spark, docs):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
 
 
+def slow_tokens(url):
+    """url_tokens in plain code."""
+    host = re.split("[/?#]", url.split("://", 1)[1])[0].lower() if "://" in url else ""
+    path = re.split("[?#]", re.sub(r"^.*?://[^/?#]*", "", url, flags=re.S))[0].lower() if "://" in url else ""
+    query = re.search(r"\?([^#]*)", url)
+    keys = [k.split("=")[0].lower() for k in (query[1].split("&") if query else []) if k]
+    return {f"h:{x}" for x in host.split(".") if x} | {f"p:{x}" for x in re.split("[^a-z0-9]+", path) if x and not x.isdigit()} | {f"q:{k}" for k in keys}
+
+
 def test_op3(spark):
-    for r in queries.op3_url_filter(spark, SMALL).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url"), "page_id").collect():
-        rest = r["url"].split("://", 1)[1]
+    """Hosts, paths, rules and verdicts by plain code, over the rules that are mined."""
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    assert len(queries.url_labels(spark, SMALL).collect()) > 0
+    mined = [set(r["tokens"]) for r in url_filter.mine_rules(queries.url_labels(spark, SMALL)).collect()]
+    got = queries.op3_url_filter(spark, SMALL).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        url = pages[r["page_id"]]
+        rest = url.split("://", 1)[1]
         host = re.split("[/?#]", rest)[0].lower()
         path = re.split("[?#]", rest[len(host) :])[0]
         fit = [(len(k), k, v) for k, v in queries.URL_RULES if (host == k.split("/")[0] or host.endswith("." + k.split("/")[0])) and path.startswith("/" + k.split("/", 1)[1])]
         want = max(fit, default=None)
-        assert (r["host"], r["path"]) == (host, path)
-        assert r["rule"] == (want[1] if want else None)
-        assert r["verdict"] == (want[2] if want else r["verdict"]) and r["verdict"] in ("allow", "block")
+        learnt = "block" if any(m <= slow_tokens(url) for m in mined) else "allow"
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, want and want[1], want[2] if want else learnt)
+
+
+def test_mined_verdicts_equal_brute_force(spark):
+    """Rules found by counting all token sets, and the urls they block."""
+    pages = [r["url"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    labelled = [(f"{u}&n={i}" if "?" in u else f"{u}?n={i}", int(u.split("://")[1][0] in "abcdefghijklm")) for u in pages for i in range(8)]
+    labelled = [(u, bad) for u, bad in labelled]
+    df = spark.createDataFrame(labelled, "url string, bad int").withColumn("held", F.pmod(F.xxhash64("url"), F.lit(url_filter.HELD_OUT)) == 0)
+    rows = [(slow_tokens(r["url"]), r["bad"], r["held"]) for r in df.collect()]
+    learn, held = [x for x in rows if not x[2]], [x for x in rows if x[2]]
+    low, top = max(url_filter.MIN_SUPPORT, url_filter.MIN_URLS / len(learn)) * len(learn), url_filter.MIN_CONFIDENCE
+    share, rules, sets = sum(b for _, b, _ in held) / len(held), [], [frozenset()]
+    while sets:  # level by level, from the sets that are still frequent with the label
+        longer = {s | {t} for s in sets for items, bad, _ in learn if bad and s <= items for t in items - s}
+        sets = []
+        for s in sorted(longer, key=sorted):
+            n, bad = sum(s <= i for i, _, _ in learn), sum(s <= i and b for i, b, _ in learn)
+            if bad >= low and not any(r <= s for r in rules):
+                (rules if bad / n >= top else sets).append(s)
+    good = []
+    for s in rules:
+        met = [b for i, b, _ in held if s <= i]
+        if met and sum(met) / len(met) >= top and sum(met) / len(met) - share > url_filter.STANDARD_ERRORS * math.sqrt(share * (1 - share) / len(met)):
+            good.append(s)
+    mined = url_filter.mine_rules(df.select("url", "bad"))
+    assert {frozenset(r["tokens"]) for r in mined.collect()} == set(good) and good
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(urls, mined, queries.URL_RULES[:1]).where("rule IS NULL").collect()}
+    assert got and all(v == ("block" if any(s <= slow_tokens(pages[i]) for s in good) else "allow") for i, v in got.items())
 
 
 def test_op4(spark, docs):
@@ -136,7 +182,7 @@ def test_pipeline(spark, docs):
 
 
 def test_mined_rules(spark):
-    rows = [(f"http://{'bad' if i % 2 else 'good'}.example.com/en/{i}?page=1", i % 2) for i in range(100)]
+    rows = [(f"http://{'bad' if i % 2 else 'good'}.example.com/en/{i}?page=1", i % 2) for i in range(400)]
     labelled = spark.createDataFrame(rows, "url string, bad int")
     mined = url_filter.mine_rules(labelled, min_support=0.05, min_confidence=0.9)
     urls = spark.createDataFrame([(1, "https://x.bad.example.com/"), (2, "https://good.example.com/"), (3, None), (4, "no url"), (5, "http://BAD.example.com/en/9")], "page_id int, url string")

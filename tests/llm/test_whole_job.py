@@ -1,5 +1,7 @@
 """Every row, line, rule and id takes part."""
 
+import random
+
 from tests.conftest import SMALL
 from tidewell.llm import line_dedup, queries, toxicity, url_filter
 
@@ -28,12 +30,23 @@ def test_all_minimal_rules_are_kept_and_joined(spark, monkeypatch):
     good = [f"http://ok.org/{'/'.join(w for w in 'wxyz' if w != out)}?n={i}" for out in "wxyz" for i in range(40)]
     labelled = spark.createDataFrame([(u, 1) for u in bad] + [(u, 0) for u in good], "url string, bad int")
     mined = url_filter.mine_rules(labelled, min_support=0.05, min_confidence=0.9)
+    assert all(r["filed"] in r["tokens"] and r["filed"] not in ("h:ok", "h:org") for r in mined.collect())
     rules = {tuple(r["tokens"]) for r in mined.collect()}
     assert ("p:w", "p:x", "p:y", "p:z") in rules and ("h:bad",) in rules
     assert not any(set(a) < set(b) for a in rules for b in rules)
     urls = spark.createDataFrame([(1, "https://new.org/z/y/x/w"), (2, "https://new.org/z/y/x"), (3, None), (4, "http://bad.org/"), (4, "http://bad.org/"), (5, "http://ok.org/w")], "page_id int, url string")
     say = lambda: sorted((r["page_id"], r["verdict"], r["mined_rule"] or "") for r in url_filter.judge(urls, mined, [("none.org/", "block")]).collect())
-    inside = say()
-    assert [v for _, v, _ in inside] == ["block", "allow", "allow", "block", "block", "allow"]
-    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 1)
-    assert say() == inside
+    few = say()
+    assert [v for _, v, _ in few] == ["block", "allow", "allow", "block", "block", "allow"]
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    assert say() == few
+
+
+def test_rules_of_chance_are_not_kept(spark):
+    """Labels that say nothing about the urls leave no rule; a mark among them leaves its own alone."""
+    rng = random.Random(8)
+    noise = [(f"http://h{rng.randrange(30)}.example.com/{rng.choice('abcdef')}/{rng.choice('uvwxyz')}?q={i}", int(rng.random() < 0.3)) for i in range(3000)]
+    df = lambda rows: spark.createDataFrame(rows, "url string, bad int")
+    assert url_filter.mine_rules(df(noise)).count() == 0
+    marked = noise + [(f"http://h{i % 30}.example.com/spam/{i}", 1) for i in range(200)]
+    assert {tuple(r["tokens"]) for r in url_filter.mine_rules(df(marked)).collect()} == {("p:spam",)}

@@ -2,7 +2,8 @@
 
 Edges never leave the executors; the driver sees two numbers a round.  A node
 with many neighbours is met by an aggregate (combined before the shuffle) and
-by a join that Spark may split."""
+by a join whose sides are both dealt for it alone, so that Spark may split it
+(the aggregate's own dealing, by the bare node, would bind the join to it)."""
 
 from __future__ import annotations
 
@@ -14,6 +15,10 @@ from . import common
 MAX_ROUNDS = 60
 
 
+def _with_least(edges: DataFrame, node: str, least: DataFrame) -> DataFrame:
+    return edges.withColumn("k", F.struct(node)).join(least.select(F.struct(node).alias("k"), "m"), "k").drop("k")
+
+
 def connected(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(id, label) of every node that has an edge; label is the component's least id.
 
@@ -29,9 +34,9 @@ def connected(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
         before = mark
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.table(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct())
+        large = scratch.table(_with_least(both.where(F.col("v") > F.col("u")), "u", least).select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
+        moved = _with_least(large, "a", least)
         small = moved.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
         after = scratch.table(small.distinct())
         scratch.drop(large)

@@ -11,11 +11,13 @@ Links are counted without listing pairs: inside a bucket a block of at most
 BLOCK vectors meets another, a link counts in the first table whose bucket
 both share, and every vector sends on its count and one edge.  Larger buckets
 are split into block against block, all of which are compared.  Equal vectors
-are one vector with a weight.
+are one vector with a weight.  A vector travels with its bucket alone; the
+buckets of earlier tables are computed anew for the vectors that have links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length do not link; rows
-that agree in vec_id and vector are one vector and get equal results; an empty
+that agree in vec_id and vector are one vector and get equal results; a null
+vec_id sorts last, so its component has another's id if it can; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -32,10 +34,10 @@ from . import common
 from .components import connected
 
 COSINE = 0.9
-WIDTH = 2.0
-RECALL = 0.93
-STRANGERS = 128
-BLOCK = 1024
+WIDTH = 2.5
+RECALL = 0.97
+STRANGERS = 1024
+BLOCK = 2048
 TILE = 256
 SEED = 20
 #: Buckets over BLOCK that are broadcast at most; more are joined by shuffle.
@@ -97,11 +99,15 @@ def _hashed(vectors: DataFrame, kind: str, k: int, tables: int) -> DataFrame:
     return common.bounded(vectors).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields) + ", buckets array<long>")
 
 
-def compare(x: np.ndarray, weight: np.ndarray, sig: np.ndarray, table: int, block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(links first met in this table, least index linked through any chain) of a group's vectors."""
+def compare(x: np.ndarray, weight: np.ndarray, earlier, block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(links first met in this table, least index linked through any chain) of a group's vectors.
+
+    ``earlier`` gives the buckets of the vectors at some indices in the tables
+    before this one, a row each."""
     n = len(x)
     linked = np.zeros((n, n), bool)
     count = np.zeros(n, np.int64)
+    known: np.ndarray | None = None
     for at in range(0, n, TILE):
         rows = slice(at, min(n, at + TILE))
         near = x[rows] @ x.T >= COSINE
@@ -109,30 +115,41 @@ def compare(x: np.ndarray, weight: np.ndarray, sig: np.ndarray, table: int, bloc
         if across:
             near &= block[rows][:, None] != block[None, :]
         linked[rows] = near
-        i, j = np.nonzero(near)
-        if table and len(i):
-            fresh = ~(sig[i + at, :table] == sig[j, :table]).any(axis=1)
-            i, j = i[fresh], j[fresh]
-        np.add.at(count, i + at, weight[j])
-    linked |= linked.T
+        if not near.any():
+            continue
+        if known is None:
+            known = earlier(np.arange(n))
+        for first in range(0, near.shape[1], BLOCK):
+            i, j = np.nonzero(near[:, first : first + BLOCK])
+            i, j = i + at, j + first
+            fresh = np.ones(len(i), bool)
+            for of in known.T:
+                fresh &= of[i] != of[j]
+            count += np.bincount(i[fresh], weight[j[fresh]], n).astype(np.int64)
     label = np.arange(n)
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+    some = np.flatnonzero(linked.any(1))
+    while len(some):
+        least = label.copy()
+        for at in range(0, len(some), TILE):
+            rows = some[at : at + TILE]
+            least[rows] = np.minimum(label[rows], np.where(linked[rows], label[None, :], n).min(axis=1))
         least = least[least]
         if (least == label).all():
-            return count, label
+            break
         label = least
+    return count, label
+
 
+def _compared(members: DataFrame, kind: str, k: int, tables: int) -> DataFrame:
+    """(a, n, b): a vector, its links first met in a group, the vector its group's chain leads to.
 
-def _compared(members: DataFrame, kind: str) -> DataFrame:
-    """(a, n, b): a vector, its links first met in a group, the vector its group's chain leads to."""
+    ``members`` comes grouped: (bucket, i, j, nth, at, block, weight, vec)."""
     at_kind = members.schema["at"].dataType.simpleString()
 
-    def solve(name, at, block, weight, raw, sig):
-        """Arrow arrays of a group."""
-        sig = np.array(sig, np.int64)
-        table = int(np.flatnonzero(sig[0] == name[0])[0])
-        count, label = compare(unit(raw, kind), np.array(weight, np.int64), sig, table, np.array(block), name[1] != name[2])
+    def solve(name, nth, at, block, weight, raw):
+        x = unit(raw, kind)
+        earlier = lambda rows: buckets(x[rows], k, tables)[:, : nth[0]]
+        count, label = compare(x, np.array(weight, np.int64), earlier, np.array(block), name[1] != name[2])
         some = np.flatnonzero((count > 0) | (label != np.arange(len(label))))
         return [(at[i], int(count[i]), at[int(label[i])]) for i in some.tolist()]
 
@@ -145,7 +162,7 @@ def _compared(members: DataFrame, kind: str) -> DataFrame:
 
         for batch in batches:
             at_type = batch.schema.field("at").type
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "i", "j", "at", "block", "weight", "vec", "buckets")]
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "i", "j", "nth", "at", "block", "weight", "vec")]
             for bucket, i, j, *rest in zip(*cols):
                 if name != (bucket, i, j):
                     if held and len(held[0]) > 1:
@@ -174,7 +191,7 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
     valid = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
     clean = F.transform(v, lambda x: x + F.lit(0).cast(wide))  # -0.0 and 0.0 are one number
     rows = vectors.select(F.col(key).alias("id"), F.when(valid, clean).alias("v"))
-    rows = rows.select(F.struct("id", F.xxhash64("v").alias("vh")).alias("at"), F.xxhash64(F.lit("second"), F.col("v")).alias("h2"), "v")
+    rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("v").alias("vh")).alias("at"), F.xxhash64(F.lit("second"), F.col("v")).alias("h2"), "v")
     ids = rows.where(F.col("v").isNotNull()).dropDuplicates(["at", "h2"])
     one = ids.groupBy(F.col("at.vh").alias("vh"), "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v"))
 
@@ -189,7 +206,7 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
     hashed = scratch.table(_hashed(one.select("at", "weight", "vec"), kind, k, tables))
     sizes = hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     large = scratch.table(sizes.where(F.col("size") > BLOCK).select(F.col("bucket").alias("lb"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    spread = hashed.select("at", "weight", "vec", "buckets", F.explode("buckets").alias("bucket"))
+    spread = hashed.select("at", "weight", "vec", F.posexplode("buckets").alias("nth", "bucket"))
     n_large = large.count()
     if n_large:
         spread = spread.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, F.col("bucket") == F.col("lb"), "left")
@@ -198,9 +215,9 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
         spread = spread.withColumn("blocks", F.lit(1))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    groups = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "at", "block", "weight", "vec", "buckets")
+    groups = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nth", "at", "block", "weight", "vec")
     groups = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = scratch.table(_compared(groups, kind))
+    found = scratch.table(_compared(groups, kind, k, tables))
     links = found.groupBy(F.col("a").alias("at")).agg(F.sum("n").alias("n"))
     labels = connected(found.select("a", "b"), scratch).withColumnRenamed("id", "at")
     known = one.select("vh", "h2", "at", "weight").join(links, "at", "left").join(labels, "at", "left")

@@ -140,12 +140,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_
     body = F.col(text).cast("string")
     kept = surviving(docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th")), exact_chars)
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
-    packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_row"), F.col(key).alias("_id"), F.xxhash64(body).alias("_th"), F.split(body, "\n", -1).alias("_lines"))
+    packed = docs.select(F.struct(F.lit(0).alias("-1"), *[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(others)]).alias("_row"), F.col(key).alias("_id"), F.xxhash64(body).alias("_th"), F.split(body, "\n", -1).alias("_lines"))
     joined = packed.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left")
     removable = F.filter(F.transform("_lines", lambda x, i: F.when(F.length(_trimmed(x)) >= exact_chars, i)), lambda i: i.isNotNull())
     gone = F.array_sort(F.array_except(removable, F.coalesce("kept_pos", F.array().cast("array<int>"))))
     joined = joined.select("_row", "_lines", gone.alias("_gone"))
-    out = {c: F.col(f"_row.`{c}`").alias(c) for c in others} | {text: _without(F.col("_lines"), F.col("_gone")).alias(text)}
+    out = {c: F.col(f"_row.`{i}`").alias(c) for i, c in enumerate(others)} | {text: _without(F.col("_lines"), F.col("_gone")).alias(text)}
     counts = [F.when(F.col("_lines").isNull(), 0).otherwise(F.size(c)).cast("long").alias(name) for c, name in (("_lines", "n_lines"), ("_gone", "n_removed"))]
     return joined.select(*[out[c] for c in docs.columns if c in out], *counts)
 

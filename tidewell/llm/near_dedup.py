@@ -17,7 +17,7 @@ So every candidate pair is verified or already connected, and none is dropped.
 
 Defined results: a text without words (null, empty, blank) is a class of its
 own; rows that agree in doc_id and text are one document, in one class, kept
-or not together; a null doc_id sorts first; texts of any length are compared
+or not together; a null doc_id sorts last; texts of any length are compared
 whole; an empty table gives an empty result; extra columns are ignored by
 ``classes`` and passed on by ``keep_one``.
 """
@@ -173,7 +173,7 @@ def similar(x: Text, y: Text) -> bool:
 
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.col(text).cast("string")
-    return docs.select(F.struct(F.col(key).alias("doc_id"), F.xxhash64(body).alias("th")).alias("at"), F.xxhash64(F.lit("second"), body).alias("h2"), body.alias("text"))
+    return docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("doc_id"), F.xxhash64(body).alias("th")).alias("at"), F.xxhash64(F.lit("second"), body).alias("h2"), body.alias("text"))
 
 
 def _sketch(rows: DataFrame) -> DataFrame:
@@ -322,6 +322,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those whose class has an earlier document."""
     scratch = common.Scratch(docs.sparkSession)
-    gone = scratch.table(classes(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct())
+    gone = scratch.table(classes(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct())
     right = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(right, F.col(key).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_t")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+    return rows.join(right, F.col("id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti").select("row.*")

@@ -20,11 +20,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls are labelled bad where the label of the same id has quality 0."""
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, bad): urls are labelled bad where the label of the same id has quality 0."""
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
-    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("bad"))
-    return url_filter.judge(pages.select("page_id", "url"), url_filter.mine_rules(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return pages.join(labels, pages.page_id == labels.doc_id).select("url", F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("bad"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.mine_rules(url_labels(spark, sf_dir)), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ table gives an empty result; other columns are neither used nor changed.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections import Counter
 
@@ -32,14 +34,12 @@ from . import common
 
 #: Labelled rows that are learnt from at most, by hash of their id.
 TRAIN_ROWS = 20_000
-#: Learnt terms at most.
-MAX_TERMS = 200
-#: A learnt term is in so many toxic texts, and in this share of them, at least;
-#: its share of the clean texts is so small a part of that.
-MIN_TOXIC, MIN_USES, MIN_SHARE, MAX_CLEAN_SHARE = 3, 8, 0.005, 0.02
+#: A learnt term is in so many toxic texts, has so many uses there (the n-th use in a
+#: text counts 1/n) and is in this share of them, at least; its share of the clean texts
+#: is so small a part of that.  Terms are as many as pass: a text of w words adds at
+#: most (1 + len(STEM_LENGTHS)) * w forms, so the bound on the texts bounds them.
+MIN_TOXIC, MIN_USES, MIN_SHARE, MAX_CLEAN_SHARE = 3, 6.0, 0.005, 0.02
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-LONGEST_WORD = 60
-MAX_CANDIDATES = 20_000
 THRESHOLD = 0.3
 WINDOW = 6
 CACHE_WORDS = 400_000
@@ -116,7 +116,7 @@ class Trie:
         lengths = [len(t.rstrip("*")) for t in terms]
         self.shortest, self.longest = min(lengths, default=1) - edits, max(lengths, default=-9) + edits
         if any(t.endswith("*") for t in terms):
-            self.longest = LONGEST_WORD
+            self.longest = math.inf
         self.pieces = re.compile("|".join(sorted(pieces)) or r"(?!)")
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -193,7 +193,7 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
         address = any(w in ("you", "your", "youre", "u") for w in near)
         quoted = 2 * (marks == 2) + around + reported - address
         counts[2 * (quoted >= 2) + (matcher[words[i]][1] > 0)] += 1
-    return [*[float(min(c, 3)) for c in counts], min(1.0, 10.0 * len(hits) / len(words))]
+    return [*[math.log2(1 + c) for c in counts], min(1.0, 10.0 * len(hits) / len(words))]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -228,9 +228,14 @@ def _forms(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEM_LENGTHS if len(word) >= k]]
 
 
+@functools.cache
+def _harmonic(k: int) -> float:
+    return math.fsum(1 / i for i in range(1, k + 1))
+
+
 def _term_counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(term, n, uses): texts that hold each word or stem, and uses there, three
-    a text at most; the empty term counts texts."""
+    """(term, n, uses): texts that hold each word or stem, and uses there, the n-th
+    in a text as 1/n; the empty term counts texts."""
 
     def count(batches):
         seen, uses, n = Counter(), Counter(), 0
@@ -239,15 +244,15 @@ def _term_counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
                 n += 1
                 own = Counter()
                 for w, k in Counter(map(str.lower, _WORD.findall(t or ""))).items():
-                    if w.isalpha() and 4 <= len(w) <= 24:
+                    if w.isalpha() and len(w) >= STEM_LENGTHS[0]:
                         for f in _forms(w):
                             if wanted is None or f in wanted:
                                 own[f] += k
                 seen.update(own.keys())
-                uses.update({f: min(k, 3) for f, k in own.items()})
-        yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64()), pa.array([n, *[uses[f] for f in seen]], pa.int64())], ["term", "n", "uses"])
+                uses.update({f: _harmonic(k) for f, k in own.items()})
+        yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64()), pa.array([n, *[uses[f] for f in seen]], pa.float64())], ["term", "n", "uses"])
 
-    counts = common.bounded(rows.select("text")).mapInArrow(count, "term string, n long, uses long")
+    counts = common.bounded(rows.select("text")).mapInArrow(count, "term string, n long, uses double")
     return counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
@@ -261,7 +266,7 @@ def learn_terms(rows: DataFrame) -> list[str]:
     if texts is None or not texts["n"]:
         return []
     some = toxic.where((F.col("term") != "") & (F.col("n") >= MIN_TOXIC) & (F.col("uses") >= MIN_USES) & (F.col("n") >= MIN_SHARE * texts["n"]))
-    n = {r["term"]: r["n"] for r in some.orderBy(F.desc("uses"), "term").limit(MAX_CANDIDATES).collect()}
+    n = {r["term"]: r["n"] for r in some.collect()}
     clean = {r["term"]: r["n"] for r in _term_counts(rows.where("toxic = 0"), set(n)).collect()}
     all_clean = max(clean.get("", 0), 1)
     good = {t: k for t, k in n.items() if clean.get(t, 0) / all_clean <= MAX_CLEAN_SHARE * k / texts["n"]}
@@ -273,7 +278,7 @@ def learn_terms(rows: DataFrame) -> list[str]:
             kept.append(t)
         elif t.endswith("*") and any(good[t] >= 0.95 * good[k] for k in inside):
             kept = [k for k in kept if k not in inside or good[t] < 0.95 * good[k]] + [t]
-    return sorted(kept, key=lambda t: (-good[t], t))[:MAX_TERMS]
+    return sorted(kept, key=lambda t: (-good[t], t))
 
 
 def learn_exceptions(rows: DataFrame, terms: list[str]) -> list[str]:
@@ -287,11 +292,11 @@ def learn_exceptions(rows: DataFrame, terms: list[str]) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
     found = common.bounded(rows.where("toxic = 0").select("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return [r["term"] for r in found.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()]
+    return sorted(r["term"] for r in found.collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[str], list[str], list[float]]:
-    """(lexicon, exceptions, weights).  What reaches the driver is bounded by TRAIN_ROWS and MAX_TERMS."""
+    """(lexicon, exceptions, weights).  What reaches the driver comes from TRAIN_ROWS texts."""
     rows = common.Scratch(docs.sparkSession).table(training_rows(docs, labels, key, text))
     terms = sorted(set(SEED_TERMS) | set(learn_terms(rows)))
     exceptions = learn_exceptions(rows, terms)
@@ -345,6 +350,6 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, in all their columns."""
-    scored = score(docs.withColumn("_text", F.col(text).cast("string")), train(docs, labels, key, text), "_text", "_toxicity")
-    return scored.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, in all their columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    return score(rows, train(docs, labels, key, text)).where(F.col("score") < THRESHOLD).select("row.*")

@@ -2,11 +2,13 @@
 
 Given (host, path) rules decide first: a rule fits its host and all
 subdomains if the path starts with the rule's; the longest wins.  Every other
-url is judged by association rules: FP-growth mines combinations of URL
-tokens from labelled urls, all combinations within the support and confidence
-bounds that imply the bad label are kept, but for those a smaller one implies,
-and an inverted index by one token of each rule finds the rules that a url's
-token set fulfils: in the expression, or joined if there are many.
+url is judged by association rules.  FP-growth mines combinations of URL
+tokens from the labelled urls outside a held-out part.  Kept are those that
+imply the bad label within the support and confidence bounds, that no smaller
+one implies, and that hold out: the held-out urls they fit must be bad in
+that share too, and by more than chance allows.  An inverted index files each
+rule under its rarest token; a url meets the rules filed under its tokens, and
+is blocked if it has all tokens of one.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and no tokens, fits no rule and is allowed; repeated rows are judged
@@ -16,18 +18,19 @@ null is not used; extra columns are ignored.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Most mined rules that go into the expression; more are joined.
-EXPRESSION_RULES = 1_000
-MIN_SUPPORT = 0.002
+#: Share of the labelled urls, and number of them, that a rule fits at least; share of these that are bad.
+MIN_SUPPORT, MIN_URLS = 0.002, 20
 MIN_CONFIDENCE = 0.6
+#: Held out is one labelled url in so many, by hash; standard errors above the share of all that chance is allowed.
+HELD_OUT, STANDARD_ERRORS = 4, 3.0
+#: Rows (rules, or hashes of blocked urls) that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _BAD = "\x00bad"
 _A_TO_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,20 +76,46 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(hosts, paths, keys))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, confidence, support) of combinations that imply the bad label.
-
-    ``labelled``: (url, bad 0/1), all of whose rows are mined; FP-growth
-    distributes conditional trees by item group, so nothing is collected.  A
-    combination that a smaller rule implies is left out: it fits no other url."""
-    baskets = labelled.where(F.col("bad").isNotNull()).select(F.when(F.col("bad") == 1, F.array_append(url_tokens(F.col("url")), F.lit(_BAD))).otherwise(url_tokens(F.col("url"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    sets = model.freqItemsets
-    both = sets.where(F.array_contains("items", _BAD)).select(F.array_sort(F.array_remove("items", _BAD)).alias("tokens"), F.col("freq").alias("bad"))
-    alone = sets.where(~F.array_contains("items", _BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    rated = both.join(alone, "tokens").where(F.size("tokens") >= 1)
-    rated = common.Scratch(labelled.sparkSession).table(rated.select("tokens", (F.col("bad") / F.col("n")).alias("confidence"), F.col("n").alias("support")))
-    return minimal(rated, min_confidence)
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS) -> DataFrame:
+    """(tokens, filed, confidence, support) of combinations that imply the bad label.
+
+    ``labelled``: (url, bad 0/1), all of whose rows are mined or held out;
+    FP-growth distributes conditional trees by item group, so nothing is
+    collected.  ``filed`` is the rule's rarest token."""
+    scratch = common.Scratch(labelled.sparkSession)
+    known = labelled.where(F.col("bad").isNotNull()).select(F.col("url").alias("url"), F.col("bad").cast("int").alias("bad"), url_tokens(F.col("url")).alias("items"))
+    known = scratch.table(known.withColumn("held", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(HELD_OUT)) == 0))
+    learn = known.where("NOT held")
+    baskets = learn.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
+    support = max(min_support, min_urls / max(baskets.count(), 1))
+    none = scratch.spark.createDataFrame([], "tokens array<string>, filed string, confidence double, support long")
+    if support > 1:
+        return none
+    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).freqItemsets
+    sets = scratch.table(sets.select(F.array_sort(F.array_remove("items", _BAD)).alias("tokens"), F.array_contains("items", _BAD).alias("both"), "freq"))
+    alone = sets.where("NOT both").select("tokens", F.col("freq").alias("n"))
+    rated = sets.where("both").select("tokens", F.col("freq").alias("bad")).join(alone, "tokens").where(F.size("tokens") >= 1)
+    rated = scratch.table(rated.select("tokens", (F.col("bad") / F.col("n")).alias("confidence"), F.col("n").alias("support")))
+    single = alone.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "n")
+    rules = minimal(rated, min_confidence)
+    filed = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("filed"))
+    rules = scratch.table(rules.join(filed, "tokens").select("tokens", "filed", "confidence", "support"))
+    return scratch.table(confirmed(rules, known.where("held"), min_confidence))
+
+
+def confirmed(rules: DataFrame, held: DataFrame, min_confidence: float) -> DataFrame:
+    """The rules whose share of bad ones among the held-out urls (items, bad) is
+    ``min_confidence`` and lies STANDARD_ERRORS above the share of all of them."""
+    share = held.agg(F.avg("bad").alias("p")).first()["p"]
+    if share is None:
+        return rules.limit(0)
+    n_rules = rules.count()
+    each = held.select("bad", "items", F.explode("items").alias("filed"))
+    met = each.join(F.broadcast(rules) if n_rules <= BROADCAST_ROWS else rules, "filed").where(F.size(F.array_except("tokens", "items")) == 0)
+    seen = met.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.avg("bad").alias("p"))
+    error = F.sqrt(F.lit(share * (1 - share)) / F.col("n"))
+    good = seen.where((F.col("p") >= min_confidence) & (F.col("p") - F.lit(share) > F.lit(STANDARD_ERRORS) * error))
+    return rules.join(good.select("tokens"), "tokens", "left_semi")
 
 
 def minimal(rated: DataFrame, min_confidence: float) -> DataFrame:
@@ -107,48 +136,40 @@ def minimal(rated: DataFrame, min_confidence: float) -> DataFrame:
     return kept
 
 
-def index_rules(rules: list) -> str:
-    """The inverted index as JSON: token -> rules filed under it, by their first token."""
-    index: dict[str, list[list[str]]] = {}
-    for row in rules:
-        index.setdefault(row["tokens"][0], []).append(list(row["tokens"]))
-    return json.dumps(index)
-
+def _key(url: Column) -> list[Column]:
+    """A url's 128-bit hash."""
+    return [F.xxhash64(url).alias("h1"), F.xxhash64(F.lit("second"), url).alias("h2")]
 
-def joined_matches(urls: DataFrame, mined: DataFrame) -> DataFrame:
-    """(_url, _mined): the first fulfilled rule of each distinct url.  A rule is
-    filed under its token that the fewest urls have."""
-    tokens = urls.where(F.col("_url").isNotNull()).select("_url").distinct().select("_url", url_tokens(F.col("_url")).alias("_tokens"))
-    each = tokens.select("_url", "_tokens", F.explode("_tokens").alias("_token"))
-    uses = each.groupBy("_token").agg(F.count(F.lit(1)).alias("n"))
-    own = mined.select("tokens", F.explode("tokens").alias("_token")).join(uses, "_token")
-    filed = own.groupBy("tokens").agg(F.min_by("_token", F.struct("n", "_token")).alias("_token"))
-    met = each.join(filed, "_token").where(F.size(F.array_except("tokens", "_tokens")) == 0)
-    return met.groupBy("_url").agg(F.min(F.array_join("tokens", " ")).alias("_mined"))
 
+def matches(urls: DataFrame, mined: DataFrame) -> DataFrame:
+    """(h1, h2, found): the first fulfilled rule of each distinct url that has one.
 
-def _in_expression(tokens: Column, rules: list) -> Column:
-    index = F.from_json(F.lit(index_rules(rules)), "map<string,array<array<string>>>")
-    filed = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<array<string>>"))))
-    fulfilled = F.filter(filed, lambda r: F.size(F.array_except(r, tokens)) == 0)
-    return F.array_min(F.transform(fulfilled, lambda r: F.array_join(r, " ")))
+    ``urls``: (url).  A rule is filed under one token, so a url meets it once;
+    a rule's match is a row, and equal urls are combined before the shuffle."""
+    few = mined.count() <= BROADCAST_ROWS
+    index = mined.select("tokens", F.col("filed").alias("token"))
+    each = urls.select(*_key(F.col("url")), url_tokens(F.col("url")).alias("own")).select("*", F.explode("own").alias("token"))
+    met = each.join(F.broadcast(index) if few else index, "token").where(F.size(F.array_except("tokens", "own")) == 0)
+    return met.groupBy("h1", "h2").agg(F.min(F.array_join("tokens", " ")).alias("found"))
 
 
 def judge(urls: DataFrame, mined: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
     """Adds host, path, rule, mined_rule and verdict to ``urls``.
 
-    A mined rule is filed under one token, so a url meets it once, and only if
-    it has that token."""
-    few = mined.select("tokens").limit(EXPRESSION_RULES + 1).collect()
+    ``mined``: (tokens, filed).  Without mined rules the urls are not shuffled."""
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "mined_rule", "verdict")]
-    host, path, tokens = F.col("host"), F.col("path"), F.col("_tokens")
-    judged = urls.select(*own, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), url_tokens(F.col(url_col)).alias("_tokens"), F.col(url_col).alias("_url"))
-    if len(few) > EXPRESSION_RULES:
-        found = joined_matches(urls.select(F.col(url_col).alias("_url")), mined)
-        judged = judged.join(found, "_url", "left")
-        mined_rule = F.col("_mined")
+    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    row = F.struct(F.lit(0).alias("-1"), *[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(own)]).alias("row")
+    held = urls.select(row, F.col(url_col).alias("url"))
+    if mined.isEmpty():
+        held = held.withColumn("found", F.lit(None).cast("string"))
     else:
-        mined_rule = _in_expression(tokens, few)
-    judged = judged.select(*own, "host", "path", rule_verdict(host, path, rules).alias("_hit"), mined_rule.alias("_mined"))
-    verdict = F.when(F.col("_hit").isNotNull(), F.col("_hit.verdict")).when(F.col("_mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*own, "host", "path", F.col("_hit.rule").alias("rule"), F.when(F.col("_hit").isNull(), F.col("_mined")).alias("mined_rule"), verdict.alias("verdict"))
+        found = common.Scratch(urls.sparkSession).table(matches(held.select("url"), mined))
+        few = found.count() <= BROADCAST_ROWS
+        found = found.select(F.struct("h1", "h2").alias("k"), "found")
+        held = held.withColumn("k", F.struct(*_key(url))).join(F.broadcast(found) if few else found, "k", "left")
+    hit = rule_verdict(host, path, rules)
+    held = held.select("row", host_of(url).alias("host"), path_of(url).alias("path"), "found").select("row", "host", "path", "found", hit.alias("hit"))
+    verdict = F.when(F.col("hit").isNotNull(), F.col("hit.verdict")).when(F.col("found").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    outer = [F.col(f"row.`{i}`").alias(c) for i, c in enumerate(own)]
+    return held.select(*outer, "host", "path", F.col("hit.rule").alias("rule"), F.when(F.col("hit").isNull(), F.col("found")).alias("mined_rule"), verdict.alias("verdict"))

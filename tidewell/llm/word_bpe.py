@@ -19,7 +19,7 @@ CACHE_WORDS = 1_000_000
 #: Characters that are turned into ids at a time, cut at white space.
 SLICE_CHARS = 1 << 20
 
-_PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u0370-\\u03a2\\u03a4-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
+_PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u0370-\\u0373\\u0375-\\u03a2\\u03a4-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
 #: Letters, then marks that start no contraction: the vocabulary never merges the two.
 _LETTERS_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BREAK = re.compile(r"[ \t\n\r]")
