@@ -60,7 +60,7 @@ CONTEXT_IDS, CLUSTER_ROUNDS = 64, 12
 COUNT_PAIRS = 2_000_000
 BROADCAST_WORDS = 200_000
 FLUSH_WORDS = 300_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Weights of a row on their way to the driver.
 CHUNK = 1 << 16
 #: The end of a text as a counted token; no word holds a line break.
@@ -427,8 +427,9 @@ def contexts(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
     return out
 
 
-def _summed(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
-    """One row per key, with the sum of its packed vectors."""
+def _summed(rows: DataFrame, key: str, value: str, kind: str, spread: int = 1) -> DataFrame:
+    """One row per key, with the sum of its packed vectors; with ``spread``, first
+    in so many parts of a key, so that no task reads what all tasks sent."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -437,7 +438,11 @@ def _summed(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
                 total[i] = total.get(i, 0) + np.frombuffer(raw, kind)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], [key, value])
 
-    return rows.select(key, value).repartition(key).mapInArrow(add, f"{key} long, {value} binary")
+    schema = f"{key} long, {value} binary"
+    if spread > 1:
+        parts = rows.select(key, value, F.pmod(F.spark_partition_id(), F.lit(spread)).alias("salt"))
+        rows = parts.repartition(key, "salt").select(key, value).mapInArrow(add, schema)
+    return rows.select(key, value).repartition(key).mapInArrow(add, schema)
 
 
 def clusters(n: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -492,7 +497,7 @@ def train(training: DataFrame, vocab: Vocabulary, scratch: common.Scratch) -> np
                 if model is not None:
                     if rest is not None and len(rest[0]):
                         model.step(*rest)
-                    total[:] += model.seen * np.append(model.state.astype(np.float64), [model.t, 1])
+                    total[:] += model.seen / SHARD_IDS * np.append(model.state.astype(np.float64), [model.t, 1])
 
             for batch in batches:
                 of = batch.column(2).to_numpy()
@@ -511,15 +516,15 @@ def train(training: DataFrame, vocab: Vocabulary, scratch: common.Scratch) -> np
                     rest = x[full:], y[full:], w[full:]
             end()
             if total[-1]:
-                parts = [total[at : at + CHUNK].tobytes() for at in range(0, len(total), CHUNK)]
+                parts = [total[at : at + CHUNK].astype("<f4").tobytes() for at in range(0, len(total), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["part", "sums"])
 
         mine = blocks.where(F.col("round") == r % ROUNDS).select("block", "weight", "shard")
         dealt = mine.repartition(3 * shards, "shard").sortWithinPartitions("shard", F.xxhash64("block"), "block")
-        found = _summed(common.bounded(dealt).mapInArrow(run, "part long, sums binary"), "part", "sums", "<f8").collect()
+        found = _summed(common.bounded(dealt).mapInArrow(run, "part long, sums binary"), "part", "sums", "<f4", math.isqrt(3 * shards)).collect()
         if found:
-            whole = np.concatenate([np.frombuffer(f["sums"], "<f8") for f in sorted(found, key=lambda f: f["part"])])
-            whole /= whole[-1]
+            whole = np.concatenate([np.frombuffer(f["sums"], "<f4") for f in sorted(found, key=lambda f: f["part"])])
+            whole = whole / whole[-1]
             state, steps = whole[:-2].astype(np.float32), round(whole[-2])
         shared.unpersist()
     scratch.drop(blocks)
