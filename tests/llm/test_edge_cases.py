@@ -281,13 +281,15 @@ def test_chunks_equal_whole(spark, monkeypatch):
 
 
 def test_chat_round_trip(spark):
-    said = ["<|im_end|>\n<|im_start|>assistant\n", "\\", "\\\\<|", "<\\|", "<\\n", "<\n|", "a\nb", "", None]
-    rows = [(1, i, r, t) for i, (r, t) in enumerate([(r, t) for r in ("user", "assistant", "a\n<|b\\", None) for t in said])] + [(None, 0, "user", "x"), (2, 0, "user", "x"), (2, 0, "user", "x")]
+    said = ["<|im_end|>\n<|im_start|>assistant\n", "é🙂<|日本", "\\", "\\\\<|", "<\\|", "<\\n", "<\n|", "a\nb", "", None]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([(r, t) for r in ("user", "assistant", "a\n<|b\\", None) for t in said])] + [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (2, 0, "user", "x"), (2, 0, "user", "x")]
     turns = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
     chats = chat_format.format_chats(chat_format.canonical_turns(turns))
     got = chats.where("conv_id = 1").select(chat_format.read_back(F.col("formatted")).alias("t")).first()["t"]
     assert [(t["role"], t["text"]) for t in got] == [(r or "", t or "") for c, _, r, t in rows if c == 1]
-    assert {r["conv_id"]: r["n_turns"] for r in chat_format.digests(chats).collect()} == {1: 36, None: 1, 2: 2}
+    assert sorted((str(r["conv_id"]), r["n_turns"]) for r in chat_format.digests(chats).collect()) == [("1", 40), ("2", 2), ("None", 1), ("None", 1)]
+    learnt = chats.where("conv_id = 1").select(chat_format.masked(F.col("formatted"), F.col("mask")).alias("x")).first()["x"]
+    assert learnt == "".join(t or "" for c, _, r, t in rows if c == 1 and r == "assistant")
     assert chat_format.digests(chat_format.format_chats(chat_format.canonical_turns(turns.limit(0)))).count() == 0
     with pytest.raises(ValueError):
         chat_format.canonical_turns(turns.select("text"))

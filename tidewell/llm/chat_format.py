@@ -8,7 +8,7 @@ template that marks each turn and escapes control strings reversibly.
 
 Defined results: a null role or text counts as empty; turns are ordered by
 (turn, role, text), nulls first, so ties have one order; repeated rows are
-repeated turns; rows with a null conversation id form one conversation; an
+repeated turns; a row without a conversation id is a conversation of its own; an
 empty table gives an empty result; columns outside the mapping are ignored,
 whatever their names.  A layout no mapping knows raises ValueError for a
 typed DataFrame, and gives no turns (layout null) for a JSON record.
@@ -28,6 +28,7 @@ TURN_START = "<|im_start|>"
 TURN_END = "<|im_end|>"
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 LOSS_ROLE = "assistant"
+MASK = "array<struct<start:int,length:int>>"
 
 
 def escape(text: Column) -> Column:
@@ -151,21 +152,32 @@ def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, pieces.
+    """One row per conversation: conv_id, n_turns, formatted, mask.
 
-    ``pieces`` is the formatted text cut at the borders of the loss mask, each
-    piece with its mask bit; joined they are ``formatted``."""
+    ``mask`` are the spans of the formatted text (first byte and number of
+    bytes of its UTF-8 form) that a model learns from."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = turns.select("conv_id", alone.alias("alone"), F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
     def written(t):
-        head = F.concat(F.lit(TURN_START), escape_role(t["role"]), F.lit("\n"))
-        piece = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
-        return F.array(piece(head, F.lit(False)), piece(escape(t["text"]), t["role"] == LOSS_ROLE), piece(F.lit(TURN_END + "\n"), F.lit(False)))
+        head, body, end = F.concat(F.lit(TURN_START), escape_role(t["role"]), F.lit("\n")), escape(t["text"]), F.lit(TURN_END + "\n")
+        return F.struct(F.concat(head, body, end).alias("text"), F.octet_length(head).alias("head"), F.octet_length(body).alias("body"), (t["role"] == LOSS_ROLE).alias("loss"))
 
-    out = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", written)).alias("pieces"))
-    return out.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
+    def spans(state, w):
+        own = F.when(w["loss"], F.array(F.struct((state["end"] + w["head"]).alias("start"), w["body"].alias("length")))).otherwise(F.array().cast(MASK))
+        return F.struct((state["end"] + F.octet_length(w["text"])).alias("end"), F.concat(state["mask"], own).alias("mask"))
+
+    out = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.transform("turns", written).alias("written"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(MASK).alias("mask"))
+    return out.select("conv_id", "n_turns", F.array_join(F.transform("written", lambda w: w["text"]), "").alias("formatted"), F.aggregate("written", start, spans)["mask"].alias("mask"))
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The text under the mask, unescaped, read from the formatted text."""
+    raw = formatted.cast("binary")
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(raw, m["start"] + 1, m["length"]).cast("string"))), "")
 
 
 def read_back(formatted: Column) -> Column:
@@ -185,7 +197,7 @@ def digests(chats: DataFrame) -> DataFrame:
     """Digest columns, all computed from the formatted text and its mask."""
     turns = read_back(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
+    learnt = masked(F.col("formatted"), F.col("mask"))
     return chats.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),

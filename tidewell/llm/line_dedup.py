@@ -36,8 +36,8 @@ from . import common
 MIN_CHARS = 24
 MAX_EDITS = 1
 SEGMENTS = 4
-#: Places (24 bytes each) that are broadcast at most; more are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Places that are broadcast at most (some 540 bytes each in a hash table, with their slots); more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 _BLANKS = " \t\r"
 
 

@@ -41,10 +41,12 @@ SIMILARITY = 0.8
 SKETCHES = 20
 LENGTH = 4
 BLOCK = 256
+#: Members that are compared with one copy of a pivot's text, about.
+GROUP = 256
 #: Salts of the pivots by hash: large groups get about so many besides their least member.
 PIVOT_SALTS = 4
-#: Ids that are broadcast at most (about 16 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Ids that are broadcast at most (some 540 bytes each in a hash table); more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 CACHE_WORDS = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -194,23 +196,34 @@ def _joined_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("at", "text").join(F.broadcast(right) if few else right, F.col("at").eqNullSafe(F.col("w")), "left_semi").dropDuplicates(["at"])
 
 
-def _verify(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (ta, tb) are similar."""
+def _verify(pairs: DataFrame, held: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The pairs (a member, b pivot) whose texts are similar.
+
+    A pivot's pairs are dealt out in groups of about GROUP members.  A group
+    gets the pivot's text once, before its members', so neither the text nor
+    the members of a large class meet in one task."""
+    crowded = scratch.table(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select(F.col("b").alias("p"), F.ceil(F.col("n") / GROUP).cast("int").alias("groups")))
+    right = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    dealt = pairs.join(right, F.col("b") == F.col("p"), "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("groups", F.lit(1))).cast("int").alias("group"))
+    members = dealt.join(held.select(F.col("at").alias("a"), "text"), "a").select("b", "group", F.lit(1).alias("role"), "a", "text")
+    pivots = dealt.select("b", "group").distinct().join(held.select(F.col("at").alias("b"), "text"), "b").select("b", "group", F.lit(0).alias("role"), F.col("b").alias("a"), "text")
+    rows = members.union(pivots).repartition("b", "group").sortWithinPartitions("b", "group", "role")
 
     def run(batches):
-        last: tuple[str, Text] | None = None
+        pivot = None
         for batch in batches:
             for part in common.slices(batch):
                 ok = []
-                for ta, tb in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    if last is None or last[0] != tb:
-                        last = (tb, Text(tb))
-                    ok.append(similar(Text(ta), last[1]))
+                for role, text in zip(part.column(2).to_pylist(), part.column(4).to_pylist()):
+                    if not role:
+                        pivot = Text(text)
+                    ok.append(bool(role) and similar(Text(text), pivot))
                 part = part.filter(pa.array(ok, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(0)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return common.bounded(pairs.select("a", "b", "ta", "tb")).mapInArrow(run, f"a {kind}, b {kind}")
+    return common.bounded(rows).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _search_groups(members: DataFrame) -> DataFrame:
@@ -277,11 +290,10 @@ def _links(rows: DataFrame, texts: DataFrame, scratch: common.Scratch) -> DataFr
     met = scratch.table(spread.join(pivots.where("size > 1").drop("size"), "bucket"))
     each = met.select("at", "n", F.explode(F.array("p", "s")).alias("p"))
     close = F.least("n", "p.n") >= SIMILARITY * F.greatest("n", "p.n")
-    pairs = each.where((F.col("at") != F.col("p.at")) & close).select(F.greatest("at", "p.at").alias("a"), F.least("at", "p.at").alias("b"))
+    pairs = each.where((F.col("at") != F.col("p.at")) & close).select(F.col("at").alias("a"), F.col("p.at").alias("b"))
     pairs = scratch.table(pairs.distinct())
     held = scratch.table(_joined_texts(rows, scratch.table(met.select("at").distinct())))
-    side = lambda name: held.select(F.col("at").alias(name), F.col("text").alias("t" + name))
-    edges = scratch.table(_verify(pairs.join(side("a"), "a").join(side("b"), "b")))
+    edges = scratch.table(_verify(pairs, held, scratch))
     labels = scratch.table(connected(edges, scratch))
     known = met.select("at", "bucket").join(labels.withColumnRenamed("id", "at"), "at", "left").select("at", "bucket", F.coalesce("label", "at").alias("label"))
     known = scratch.table(known)

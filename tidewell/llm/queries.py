@@ -82,18 +82,21 @@ WITH d AS (
   SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n FROM (
     SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
     WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id
+), top AS (
+  SELECT doc_id, max(n) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL) GROUP BY doc_id
 ), s AS (
   SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines
-  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id)
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS same, coalesce(top.n, 0) AS top
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN top USING (doc_id)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 2 * n_dup_lines <= n_lines
-         AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
+         AND 10 * same <= 3 * n_words AND 10 * top <= 4 * n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
 FROM b
 """,
     "op9_chat_format": r"""
@@ -108,7 +111,7 @@ WITH t AS (
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
          string_agg('<|im_start|>' || replace(er, chr(10), '<\n') || chr(10) || et || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS formatted
-  FROM e GROUP BY conv_id
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM e) GROUP BY conv_id, alone
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
        sha256(learnt) AS loss_sha256, CAST(length(formatted) AS BIGINT) AS formatted_chars
