@@ -47,7 +47,7 @@ GROUP = 256
 PIVOT_SALTS = 4
 #: Ids that are broadcast at most (some 540 bytes each in a hash table); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)

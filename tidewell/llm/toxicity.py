@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .near_dedup import shingles
 
 #: Labelled rows that are learnt from at most, by hash of their id.
 TRAIN_ROWS = 20_000
@@ -42,7 +43,7 @@ MIN_TOXIC, MIN_USES, MIN_SHARE, MAX_CLEAN_SHARE = 3, 6.0, 0.005, 0.02
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 WINDOW = 6
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 # Seed terms, quote marks, reporting and addressing words, look-alike characters.
 SEED_TERMS = ["bastard", "clown", "cretin", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moron", "pathetic", "scumbag", "scum", "stupid", "trash", "worthless"]
@@ -216,11 +217,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     """(text, toxic) of at most TRAIN_ROWS labelled documents outside the held-out
-    fold; equal texts count once, or the words of a much copied text would look like marks."""
+    fold.  Of the texts of a label that share their least five-word shingle one
+    counts, or the words of a much copied text would look like marks."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.crc_remainder("doc_id", 4) != 2))
     picked = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id")
-    return rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+
+    def keyed(batches):
+        for batch in batches:
+            for part in common.slices(batch):
+                least = [int(h.min()) >> 1 if len(h) else None for h in map(shingles, part.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], ["text", "toxic", "least"])
+
+    found = common.bounded(rows).mapInArrow(keyed, "text string, toxic int, least long")
+    return found.groupBy("toxic", F.coalesce("least", F.xxhash64("text"))).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def _forms(word: str) -> list[str]:
