@@ -36,8 +36,8 @@ from .components import connected
 COSINE = 0.9
 WIDTH = 2.5
 RECALL = 0.97
-STRANGERS = 1024
-BLOCK = 2048
+STRANGERS = 512
+BLOCK = 1024
 TILE = 256
 SEED = 20
 #: Buckets over BLOCK that are broadcast at most; more are joined by shuffle.
