@@ -50,5 +50,6 @@ def same_rows(df, con, sql):
     got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
     rel = con.sql(sql)
     assert sorted(rel.columns) == cols
+    assert got, "an empty result compares nothing"
     want = sorted(tuple(plain(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall())
     assert got == want

@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import SMALL, same_rows
-from tidewell.plans import registry
+from tidewell.plans import queries as registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))

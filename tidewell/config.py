@@ -15,11 +15,11 @@ MAX_POSITIONS, MAX_ORIGINALS = 200, 20
 CONTENT_LIMIT = 50_000
 DAMPING, MAX_ITERATIONS, TOLERANCE, CHECKPOINT_EVERY = 0.85, 200, 1e-8, 20
 PERSONALISED_ITERATIONS = 50
-DEFAULT_RESULTS_PER_PAGE, MAX_RESULTS = 10, 100
+DEFAULT_RESULTS_PER_PAGE = 10
 SNIPPET_WINDOW, SNIPPET_WORDS = 40, 3000
 
-MAX_WORKERS, CRAWL_LIMIT, MAX_DEPTH = 10, 50_000, 6
-MIN_DELAY, MAX_DELAY, MAX_RETRIES = 0.5, 3.0, 3
+CRAWL_LIMIT, MAX_DEPTH = 50_000, 6
+MIN_DELAY, MAX_DELAY = 0.5, 3.0
 MAX_CONTENT_SIZE = 5 * 1024 * 1024
 ROBOTS_TTL_SECONDS, ROBOTS_DEFAULT_DELAY = 6 * 3600, 1.0
 CRAWL_LANGUAGES = ["en", "id"]

@@ -17,7 +17,7 @@ from tidewell.functions import analyzers
 from tidewell.functions import html as h
 from tidewell.operators import crawl, graph, index, quality, search, store
 
-EXPORTS = ["crawled_pages", "link_graph", "pagerank_scores", "index_vocabulary", "indexed_pages", "named_entities", "entity_types"]
+EXPORTS = ["totals", "crawled_pages", "link_graph", "pagerank_scores", "top_scores", "index_vocabulary", "indexed_pages", "named_entities", "entity_types"]
 
 
 class Engine:
@@ -25,6 +25,8 @@ class Engine:
         """``entities`` maps pages to (doc_id, entity, entity_type, frequency); none by default."""
         self.spark, self.store, self.entities = spark, store.Store(spark, root), entities
         self.tasks: dict[str, str] = {}
+        #: Pages that the last crawl stored, filtered by language, and was denied.
+        self.counters: dict[str, int] = {}
 
     def _table(self, name: str) -> DataFrame:
         found = self.store.read(name)
@@ -43,14 +45,14 @@ class Engine:
 
     # --- building -----------------------------------------------------------------
 
-    def crawl(self, source: DataFrame, seeds: list[str], rounds: int = 3, limit: int = config.CRAWL_LIMIT, max_depth: int = config.MAX_DEPTH, languages: list[str] | None = None, keep_nav_links: bool = False, on_pages: Callable[[DataFrame], None] | None = None) -> None:
+    def crawl(self, source: DataFrame, seeds: list[str], rounds: int = 3, limit: int = config.CRAWL_LIMIT, max_depth: int = config.MAX_DEPTH, languages: list[str] | None = None, keep_nav_links: bool = False, on_pages: Callable[[DataFrame], None] | None = None, robots: DataFrame | None = None) -> None:
         """Crawls ``source`` (url, html) from the seeds and the pending queue."""
 
         def step():
             queue = self._table("crawl_queue")
             waiting = queue.where("status IN ('pending', 'processing')").select("url", "priority", "depth")
             first = crawl.seed(self.spark, seeds).unionByName(waiting).dropDuplicates(["url"])
-            stored, frontier = crawl.bfs(first, source, rounds, max_depth=max_depth, limit=limit, languages=languages, keep_nav_links=keep_nav_links)
+            stored, frontier = crawl.bfs(first, source, rounds, max_depth=max_depth, limit=limit, languages=languages, keep_nav_links=keep_nav_links, robots=robots, counters=self.counters)
             self.store.write("crawl_queue", queue.join(frontier.select("url"), "url", "left_anti").unionByName(schemas.conform(frontier.withColumn("added_at", F.current_timestamp()), "crawl_queue")))
             if stored is None:
                 return
@@ -62,6 +64,11 @@ class Engine:
             first_links = store.latest(links, ["src_url", "dst_url"], [F.asc("position")]).drop("position")
             known = self.store.read("links")
             self.store.write("links", first_links if known is None else store.insert_new(known, first_links, ["src_url", "dst_url"], [F.asc("anchor_text")]))
+            visits = store.domain_stats(new)
+            if robots is not None:
+                rules = robots.groupBy(F.lower("domain").alias("domain")).agg(F.max("robots_txt").alias("robots_txt"))
+                visits = visits.join(rules, "domain", "left")
+            self.store.write("domain_stats", store.upsert_domains(self._table("domain_stats"), visits))
             if on_pages is not None:
                 on_pages(self._table("pages"))
 
@@ -97,7 +104,15 @@ class Engine:
 
             edges = self._table("links").select(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"), "anchor_text", u.domain(F.col("src_url")).alias("src_domain"))
             warm = live.where("pagerank_score > 0").select(F.col("url").alias("node"), F.col("pagerank_score").alias("rank"))
-            ranks = graph.pagerank(nodes, edges, initial=None if warm.isEmpty() else warm, on_checkpoint=on_checkpoint, should_stop=should_stop)
+            left = self.store.read("rank_checkpoint")  # of a run that did not end
+            warm = warm if left is None or left.isEmpty() else left
+
+            def save(ranks: DataFrame, i: int) -> None:
+                self.store.write("rank_checkpoint", ranks)
+                if on_checkpoint is not None:
+                    on_checkpoint(ranks, i)
+
+            ranks = graph.pagerank(nodes, edges, initial=None if warm.isEmpty() else warm, on_checkpoint=save, should_stop=should_stop)
             ids = live.select("id", F.col("url").alias("node"))
             c = quality.content_quality(pages) if content else live.select("id", F.col("panda_score").alias("panda"))
             l = quality.link_quality(nodes, edges).join(ids, "node") if links else live.select("id", F.col("penguin_score").alias("penguin"))
@@ -105,6 +120,7 @@ class Engine:
             scored = quality.authority(pages, ranks.join(ids, "node").select(F.col("id").alias("node"), "rank"), c, l.select(F.col("id").alias("node"), "penguin"))
             scored = scored.join(counts, "id", "left").withColumn("in_link_count", F.coalesce("_i", "in_link_count")).withColumn("out_link_count", F.coalesce("_o", "out_link_count"))
             self.store.write("pages", scored)
+            self.store.write("rank_checkpoint", ranks.limit(0))
 
         self._run("pagerank", step)
 
@@ -129,7 +145,20 @@ class Engine:
     def suggest(self, prefix: str, limit: int = 8) -> list[str]:
         return [r["text"] for r in search.suggest(self._table("inverted_index"), prefix, limit).collect()]
 
+    def page(self, url: str) -> dict | None:
+        found = store.page_by_url(self._table("pages"), url).first()
+        return None if found is None else found.asDict(recursive=True)
+
+    def page_entities(self, page_id: int) -> list[dict]:
+        return [r.asDict() for r in store.entities_of(self._table("named_entities"), page_id).collect()]
+
+    def domain(self, name: str) -> dict | None:
+        found = store.domain_row(self._table("domain_stats"), name).first()
+        return None if found is None else found.asDict()
+
     def entity(self, name: str, limit: int = 50) -> list[dict]:
+        if not 2 <= len(name) <= 200 or not 1 <= limit <= 50:
+            raise ValueError("name has 2 to 200 characters, limit is 1 to 50")
         return [r.asDict() for r in search.entity_pages(self._table("named_entities"), self._table("pages"), name, limit).collect()]
 
     def stats(self) -> dict[str, int]:
@@ -143,12 +172,15 @@ class Engine:
 
     def export(self, name: str, path: str) -> None:
         pages, postings, entities = self._table("pages"), self._table("inverted_index"), self._table("named_entities")
+        edges = self._table("links").select(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"))
         made = {
+            "totals": lambda: store.export_totals(pages, edges, postings, entities),
+            "top_scores": lambda: store.top_scores(pages),
             "crawled_pages": lambda: store.export_pages(pages),
-            "link_graph": lambda: store.export_link_graph(self._table("links").select(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"))),
+            "link_graph": lambda: store.export_link_graph(edges),
             "pagerank_scores": lambda: store.export_scores(pages),
             "index_vocabulary": lambda: store.export_vocabulary(postings, pages),
-            "indexed_pages": lambda: pages.where("is_indexed").select("id", "url", "title", F.substring("description", 1, 300).alias("description")),
+            "indexed_pages": lambda: pages.where("is_indexed").select("id", "url", "title", F.substring("description", 1, 300).alias("description"), "meta_keywords", "headings", "word_count", "is_indexed", "crawled_at"),
             "named_entities": lambda: store.export_entities(entities, pages),
             "entity_types": lambda: store.entity_types(entities),
         }[name]()

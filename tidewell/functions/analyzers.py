@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,10 +113,34 @@ def stem_vocabulary(tokens: DataFrame, column: str = "token", analyzer: str = "s
     raise ValueError(f"no analyzer {analyzer!r}")
 
 
+# Frequent function words by language, for pages that name none.
+FUNCTION_WORDS = {
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "für", "den", "von"],
+    "en": ["the", "and", "of", "to", "is", "that", "in", "it", "for", "was", "with", "as"],
+    "es": ["el", "los", "las", "y", "que", "del", "una", "por", "con", "para", "es", "en"],
+    "fr": ["le", "les", "et", "des", "est", "que", "une", "dans", "pour", "qui", "du", "pas"],
+}
+#: Share of the words that a language's function words have at least.
+LANGUAGE_SHARE = 0.1
+
+
+def stop_word_language(text: Column) -> Column:
+    """The language whose function words are most among the words, empty below LANGUAGE_SHARE.
+    A heuristic: any detector over a text column may stand in for it."""
+    w = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+    share = lambda words: F.size(F.filter(w, lambda x: x.isin(words))) / F.greatest(F.size(F.filter(w, lambda x: x != "")), F.lit(1))
+    best = F.array_max(F.array(*[F.struct(share(words).alias("share"), F.lit(name).alias("name")) for name, words in FUNCTION_WORDS.items()]))
+    return F.when(best["share"] >= LANGUAGE_SHARE, best["name"]).otherwise(F.lit(""))
+
+
 def capitalised_entities(pages: DataFrame) -> DataFrame:
     """(doc_id, entity, entity_type, frequency): runs of two capitalised words or more
-    in the first NER_TEXT_LIMIT characters, the first MAX_ENTITIES_PER_DOC of a page."""
-    text = F.substring(F.concat_ws(". ", "title", "description", "content"), 1, config.NER_TEXT_LIMIT)
+    in the first NER_TEXT_LIMIT characters of title, description, headings and content,
+    the first MAX_ENTITIES_PER_DOC of a page."""
+    levels = F.col("headings")
+    if isinstance(pages.schema["headings"].dataType, T.MapType):
+        levels = F.flatten(F.map_values(levels))
+    text = F.substring(F.concat_ws(". ", "title", "description", F.concat_ws(" ", levels), "content"), 1, config.NER_TEXT_LIMIT)
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
     lower = F.array_distinct(F.transform(runs, lambda x: F.lower(x)))
     firsts = F.transform(lower, lambda k: F.filter(runs, lambda r: F.lower(r) == k)[0])

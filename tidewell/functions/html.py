@@ -4,10 +4,11 @@ One Arrow batch UDF parses a page once and returns everything as a struct."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,12 +145,17 @@ def _parsed(html: pd.Series, base: pd.Series, keep: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h, b, bool(k)) for h, b, k in zip(html, base, keep)], columns=SCHEMA.names)
 
 
-def parse_pages(pages: DataFrame, keep_nav_links: bool = False) -> DataFrame:
+def parse_pages(pages: DataFrame, keep_nav_links: bool = False, detector: Callable[[Column], Column] | None = None) -> DataFrame:
     """``pages`` (url, html, ...) with the parsed fields, content cut at CONTENT_LIMIT,
-    word_count of the whole text and its hash; html is dropped."""
+    word_count of the whole text and its hash; html is dropped.
+
+    A page that names no language gets that of ``detector`` (such as
+    analyzers.stop_word_language), a function of the content's first 2000 characters."""
     ship(pages.sparkSession)
     rest = [c for c in pages.columns if c != "html"]
     out = pages.withColumn("_p", _parsed("html", "url", F.lit(keep_nav_links))).select(*rest, "_p.*")
+    if detector is not None:
+        out = out.withColumn("language", F.when(F.col("language") != "", F.col("language")).otherwise(F.coalesce(detector(F.substring("content", 1, 2000)), F.lit(""))))
     return out.select(
         *[F.substring("content", 1, config.CONTENT_LIMIT).alias("content") if c == "content" else F.col(c) for c in out.columns],
         tx.word_count(F.col("content")).alias("word_count"),

@@ -34,11 +34,10 @@ def density_curve(density: Column) -> Column:
     return F.when(density < 0.01, 0.3).when(density <= 0.08, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), F.lit(1.0) - (density - 0.08) * 5), 4))
 
 
-def density_score(content: Column) -> Column:
-    """Share of all-letter tokens that are no stop words, through the curve."""
-    tokens = tx.tokenize(content)
-    content_words = F.filter(tokens, lambda t: t.rlike("^[a-z]+$") & ~t.isin(config.STOP_WORDS))
-    return F.when(F.size(tokens) == 0, F.lit(0.5)).otherwise(density_curve(F.size(content_words) / F.greatest(F.size(tokens), F.lit(1))))
+def density(tokens: Column) -> Column:
+    """Share of the tokens that are letters alone and no stop words."""
+    content_words = F.filter(tokens, lambda t: ~t.contains("'") & ~t.contains("-") & ~t.isin(config.STOP_WORDS))
+    return F.size(content_words) / F.greatest(F.size(tokens), F.lit(1))
 
 
 def readability_score(ease: Column) -> Column:
@@ -46,28 +45,59 @@ def readability_score(ease: Column) -> Column:
     return F.when(ease <= 0, F.lit(0.4)).otherwise(F.round(F.exp(F.lit(-0.5) * z * z), 4))
 
 
-def title_score(title: Column, content: Column) -> Column:
-    named = F.array_distinct(tx.process(title))
-    body = F.array_distinct(tx.process(F.substring(content, 1, 2000)))
-    overlap = F.size(F.array_intersect(named, body)) / F.greatest(F.size(named), F.lit(1))
+def title_score(title: Column, named: Column, body: Column, both: Column) -> Column:
+    """``named``, ``body``, ``both``: numbers of distinct stems of the title, of the content's start, of both."""
+    overlap = both / F.greatest(named, F.lit(1))
     missing = title.isNull() | title.isin("", "No Title")
-    return F.when(missing, 0.3).when(F.size(named) < 2, 0.5).when(F.size(body) == 0, 0.7).otherwise(F.round(F.least(F.lit(1.0), overlap + 0.5), 4))
+    return F.when(missing, 0.3).when(named < 2, 0.5).when(body == 0, 0.7).otherwise(F.round(F.least(F.lit(1.0), overlap + 0.5), 4))
 
 
-def diversity_score(content: Column) -> Column:
-    stems = tx.process(F.substring(content, 1, 5000))
-    return F.when(F.size(stems) == 0, 0.5).otherwise(F.round(F.least(F.lit(1.0), F.size(F.array_distinct(stems)) / F.greatest(F.size(stems), F.lit(1)) * 1.2), 4))
+def diversity_score(clean: Column, distinct: Column) -> Column:
+    """``clean``: number of clean tokens, ``distinct``: of their distinct stems."""
+    return F.when(clean == 0, 0.5).otherwise(F.round(F.least(F.lit(1.0), distinct / F.greatest(clean, F.lit(1)) * 1.2), 4))
 
 
-def content_parts(title: Column, content: Column, words: Column) -> dict[str, Column]:
+def content_words(title: Column, content: Column, words: Column) -> dict[str, Column]:
+    """The token arrays that the parts are scored from.  They, and the numbers made of
+    them, are columns of projections below the scores, so that nothing is computed twice."""
     body = F.coalesce(content, F.lit(""))
-    counted = F.when(F.coalesce(words, F.lit(0)) == 0, tx.word_count(body)).otherwise(words)
     return {
-        "length": length_score(counted),
-        "density": density_score(body),
-        "readability": readability_score(tx.reading_ease(F.substring(body, 1, 3000))),
-        "title": title_score(title, body),
-        "diversity": diversity_score(body),
+        "_title": title,
+        "_words": F.when(F.coalesce(words, F.lit(0)) == 0, tx.word_count(body)).otherwise(words),
+        "_start": F.substring(body, 1, 3000),
+        "_tokens": tx.tokenize(body),
+        "_read": tx.tokenize(F.substring(body, 1, 3000)),
+        "_named": tx.distinct_stems(title),
+        "_begun": tx.distinct_stems(F.substring(body, 1, 2000)),
+        "_clean": tx.clean_tokens(F.substring(body, 1, 5000)),
+    }
+
+
+def content_numbers() -> dict[str, Column]:
+    """From the columns of ``content_words``."""
+    c = F.col
+    return {
+        "_title": c("_title"),
+        "_words": c("_words"),
+        "_density": F.when(F.size("_tokens") > 0, density(c("_tokens"))),
+        "_ease": tx.reading_ease_of(c("_read"), c("_start")),
+        "_named": F.size("_named"),
+        "_begun": F.size("_begun"),
+        "_both": F.size(F.array_intersect("_named", "_begun")),
+        "_clean": F.size("_clean"),
+        "_distinct": F.size(F.array_distinct(F.transform(F.array_distinct("_clean"), tx.stem))),
+    }
+
+
+def content_parts() -> dict[str, Column]:
+    """The five parts, from the columns of ``content_numbers``."""
+    c = F.col
+    return {
+        "length": length_score(c("_words")),
+        "density": F.when(c("_density").isNull(), 0.5).otherwise(density_curve(c("_density"))),
+        "readability": readability_score(c("_ease")),
+        "title": title_score(c("_title"), c("_named"), c("_begun"), c("_both")),
+        "diversity": diversity_score(c("_clean"), c("_distinct")),
     }
 
 

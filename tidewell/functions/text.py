@@ -25,8 +25,8 @@ def stop_words() -> Column:
 
 
 def is_clean(token: Column) -> Column:
-    """All letters, of allowed length, no stop word."""
-    return token.rlike(f"^[a-z]{{{config.MIN_WORD_LENGTH},{config.MAX_WORD_LENGTH}}}$") & ~token.isin(config.STOP_WORDS)
+    """All letters (a token has apostrophes and hyphens besides), of allowed length, no stop word."""
+    return F.length(token).between(config.MIN_WORD_LENGTH, config.MAX_WORD_LENGTH) & ~token.contains("'") & ~token.contains("-") & ~token.isin(config.STOP_WORDS)
 
 
 def clean_tokens(text: Column) -> Column:
@@ -42,6 +42,11 @@ def process(text: Column) -> Column:
     return F.transform(clean_tokens(text), stem)
 
 
+def distinct_stems(text: Column) -> Column:
+    """The distinct stems of the clean tokens; each distinct token is stemmed once."""
+    return F.array_distinct(F.transform(F.array_distinct(clean_tokens(text)), stem))
+
+
 def stem_positions(text: Column) -> Column:
     """map stem -> positions in the clean token stream."""
     at = F.transform(process(text), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
@@ -73,9 +78,13 @@ def syllables(word: Column) -> Column:
 
 def reading_ease(text: Column) -> Column:
     """Flesch reading ease, 0 to 100; 0 without words."""
-    w = tokenize(text)
+    return reading_ease_of(tokenize(text), text)
+
+
+def reading_ease_of(w: Column, text: Column) -> Column:
+    """As ``reading_ease``, of a text whose tokens are at hand."""
     n = F.size(w)
-    sentences = F.greatest(F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?]+"), lambda s: s.rlike(r"\S"))), F.lit(1))
+    sentences = F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^.!?]*[^.!?\s][^.!?]*")), F.lit(1))
     total = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
     ease = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (total / F.greatest(n, F.lit(1)))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)))

@@ -46,6 +46,17 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("targets"))
 
 
+def adjacency_with_anchors(links: DataFrame) -> DataFrame:
+    """(src, targets of (dst, anchor)), a missing anchor as an empty one, in order."""
+    one = F.struct("dst", F.coalesce("anchor_text", F.lit("")).alias("anchor"))
+    return links.groupBy("src").agg(F.array_sort(F.collect_list(one)).alias("targets"))
+
+
+def top_ranks(ranks: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` best nodes, ties by node."""
+    return ranks.orderBy(F.desc("rank"), "node").limit(n)
+
+
 def inbound_anchor_stats(links: DataFrame) -> DataFrame:
     """(dst, total, unique, top) of non-blank anchors, trimmed and lower-cased."""
     a = links.select("dst", F.lower(F.trim("anchor_text")).alias("a")).where("a <> ''")
@@ -62,7 +73,7 @@ def pagerank(
     nodes: DataFrame,
     edges: DataFrame,
     damping: float = config.DAMPING,
-    max_iterations: int = config.MAX_ITERATIONS,
+    max_iterations: int | None = None,
     tolerance: float | None = config.TOLERANCE,
     initial: DataFrame | None = None,
     seeds: DataFrame | None = None,
@@ -73,8 +84,17 @@ def pagerank(
 
     ``initial`` (node, rank) warm-starts: missing nodes get 1/N, then all are
     scaled to sum 1.  ``seeds`` (node) take the whole teleport; with none among
-    the nodes the plain rank is computed.  ``tolerance`` None runs all rounds."""
-    tables = Tables(nodes.sparkSession)
+    the nodes the plain rank is computed.  ``tolerance`` None runs all rounds, as a
+    personalised rank does: PERSONALISED_ITERATIONS of them unless told otherwise.
+
+    The weighted edges are dealt out by source once and kept so (a lost part is
+    read again from their table); a round moves the ranks and the flows alone."""
+    if seeds is not None:
+        tolerance = None
+    if max_iterations is None:
+        max_iterations = config.MAX_ITERATIONS if seeds is None else config.PERSONALISED_ITERATIONS
+    spark = nodes.sparkSession
+    tables = Tables(spark)
     nodes = nodes.select("node").distinct()
     e = known_edges(nodes, edges)
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
@@ -101,6 +121,7 @@ def pagerank(
         start = given.select("node", "dangles", "teleport", (F.col("r") / max(total, 1e-12)).alias("rank"))
     ranks = tables.write(start)
     lost = _lost(ranks)
+    weighted = weighted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
     for i in range(1, max_iterations + 1):
         if should_stop is not None and should_stop():
             break
@@ -116,6 +137,7 @@ def pagerank(
             on_checkpoint(ranks.select("node", "rank"), i)
         if tolerance is not None and mark[0] < tolerance:
             break
+    weighted.unpersist()
     return ranks.select("node", "rank")
 
 

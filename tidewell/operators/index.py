@@ -1,7 +1,7 @@
 """Inverted index: postings with provenance, document frequency, BM25.
 
-A page's fields are tagged token streams that meet in one aggregation by
-(page, stem): one shuffle, combined before it."""
+A page's text is dealt out by page once; its fields' tokens, their aggregation
+by (page, stem) and the order of its stems all follow without another shuffle."""
 
 from __future__ import annotations
 
@@ -16,9 +16,20 @@ from tidewell.functions import text as tx
 FIELDS = ["body", "title", "description", "heading", "url"]
 
 
-def _stream(pages: DataFrame, field: str, tokens: Column) -> DataFrame:
-    rows = pages.select(F.col("id").alias("doc_id"), F.posexplode(tokens).alias("pos", "token"))
-    return rows.select("doc_id", tx.stem(F.col("token")).alias("term"), F.lit(FIELDS.index(field)).alias("field"), "pos", "token")
+def _tagged(tokens: Column, field: str) -> Column:
+    """array of (field, pos, token) of one field's tokens."""
+    return F.transform(tokens, lambda t, i: F.struct(F.lit(FIELDS.index(field)).alias("field"), i.alias("pos"), t.alias("token")))
+
+
+def _tokens(pages: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(doc_id, field, pos, token, term) of all fields; the rows of a page stay together.
+
+    ``fields``: the token array of each field, over the columns of ``pages``."""
+    dealt = pages.repartition("id")
+    rows = dealt.select(F.col("id").alias("doc_id"), F.explode(F.concat(*[_tagged(t, f) for f, t in fields.items()])).alias("t"))
+    rows = rows.select("doc_id", "t.field", "t.pos", "t.token")
+    url = F.col("field") == FIELDS.index("url")  # these are stems already
+    return rows.withColumn("term", F.when(url, F.col("token")).otherwise(tx.stem(F.col("token"))))
 
 
 def provenance(pages: DataFrame) -> DataFrame:
@@ -26,7 +37,7 @@ def provenance(pages: DataFrame) -> DataFrame:
 
     Positions count clean tokens; the lemma is the first occurrence's; the
     originals keep first-occurrence order."""
-    rows = _stream(pages, "body", tx.clean_tokens(F.col("content")))
+    rows = _tokens(pages.select("id", "content"), {"body": tx.clean_tokens(F.col("content"))})
     seen = F.array_sort(F.collect_list(F.struct("pos", "token")))
     out = rows.groupBy("doc_id", "term").agg(seen.alias("seen"))
     return out.select("doc_id", "term", F.transform("seen", lambda x: x["pos"]).alias("positions"), F.col("seen")[0]["token"].alias("lemma"), F.array_distinct(F.transform("seen", lambda x: x["token"])).alias("originals"), F.size("seen").alias("n"))
@@ -35,18 +46,14 @@ def provenance(pages: DataFrame) -> DataFrame:
 def unigrams(pages: DataFrame) -> DataFrame:
     """A posting for each (page, stem) of any field, flags OR-ed, boosts added."""
     c = F.col
-    streams = {
+    fields = {
         "body": tx.clean_tokens(c("content")),
         "title": tx.clean_tokens(c("title")),
         "description": tx.clean_tokens(c("description")),
         "heading": tx.clean_tokens(F.concat_ws(" ", c("headings"))),
+        "url": tx.url_terms(c("url")),
     }
-    rows = None
-    for field, tokens in streams.items():
-        part = _stream(pages, field, tokens)
-        rows = part if rows is None else rows.unionByName(part)
-    path = pages.select(c("id").alias("doc_id"), F.posexplode(tx.url_terms(c("url"))).alias("pos", "term"))
-    rows = rows.unionByName(path.select("doc_id", "term", F.lit(FIELDS.index("url")).alias("field"), "pos", c("term").alias("token")))
+    rows = _tokens(pages.select("id", "content", "title", "description", "headings", "url"), fields)
     flag = lambda f: F.max(c("field") == FIELDS.index(f))
     out = rows.groupBy("doc_id", "term").agg(
         F.count_if(c("field") == 0).alias("n"),
@@ -57,14 +64,15 @@ def unigrams(pages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("field", "pos", "token"))).alias("seen"),
     )
     boost = sum((F.when(c(f), int(b)).otherwise(0) for f, b in (("in_title", config.TITLE_BOOST), ("in_description", config.DESCRIPTION_BOOST), ("in_heading", config.HEADING_BOOST), ("in_url", config.URL_BOOST))), F.lit(0))
-    body = F.filter("seen", lambda x: x["field"] == 0)
+    # the body's entries come first in ``seen``, those of the url last
+    body = F.slice("seen", F.lit(1), c("n").cast("int"))
     own = F.filter("seen", lambda x: x["field"] != FIELDS.index("url"))
     return out.select(
         "doc_id",
         "term",
         (c("n") + boost).cast("int").alias("frequency"),
-        F.slice(F.transform(body, lambda x: x["pos"]), 1, config.MAX_POSITIONS).alias("positions"),
-        F.when(F.size(body) > 0, body[0]["pos"]).alias("first_pos"),
+        F.transform(F.slice(body, 1, config.MAX_POSITIONS), lambda x: x["pos"]).alias("positions"),
+        F.when(c("n") > 0, c("seen")[0]["pos"]).alias("first_pos"),
         "in_title",
         "in_description",
         "in_heading",
@@ -74,11 +82,17 @@ def unigrams(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_next(terms: DataFrame) -> DataFrame:
+    """``terms`` with the stem that follows in first-occurrence order, and the rank in it."""
+    w = W.partitionBy("doc_id").orderBy(F.asc_nulls_last("first_pos"))
+    after = F.lead(F.when(F.col("first_pos").isNotNull(), F.col("term"))).over(w)
+    return terms.withColumns({"next": F.when(F.col("first_pos").isNotNull(), after), "rank": F.row_number().over(w)})
+
+
 def bigrams(terms: DataFrame, limit: int = config.MAX_BIGRAMS_PER_DOC) -> DataFrame:
-    """(doc_id, term) of neighbouring distinct stems in first-occurrence order, the first ``limit``."""
-    w = W.partitionBy("doc_id").orderBy("first_pos")
-    pairs = terms.where("first_pos IS NOT NULL").select("doc_id", F.col("term").alias("a"), F.lead("term").over(w).alias("b"), F.row_number().over(w).alias("r"))
-    return pairs.where((F.col("r") <= limit) & F.col("b").isNotNull()).select("doc_id", F.concat_ws(" ", "a", "b").alias("term"), "a", "b")
+    """(doc_id, term, rank) of neighbouring distinct stems in first-occurrence order, the first ``limit``."""
+    pairs = with_next(terms).where((F.col("rank") <= limit) & F.col("next").isNotNull())
+    return pairs.select("doc_id", F.concat_ws(" ", "term", "next").alias("term"), "rank")
 
 
 def adjacent_bigrams(pages: DataFrame, min_freq: int = config.BIGRAM_MIN_FREQ) -> DataFrame:
@@ -87,14 +101,19 @@ def adjacent_bigrams(pages: DataFrame, min_freq: int = config.BIGRAM_MIN_FREQ) -
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= min_freq)
 
 
-def build(pages: DataFrame) -> DataFrame:
-    """All postings of the pages, BM25 not yet computed."""
-    one = unigrams(pages)
-    pairs = bigrams(one)
-    no = F.lit(False)
-    two = pairs.select("doc_id", "term", F.lit(1).alias("frequency"), F.array().cast("array<int>").alias("positions"), no.alias("in_title"), no.alias("in_description"), no.alias("in_url"), F.col("term").alias("lemma"), F.array("a", "b").alias("original_forms"), F.lit("BG").alias("pos_tag"))
-    one = one.select("doc_id", "term", "frequency", "positions", "in_title", "in_description", "in_url", "lemma", "original_forms", F.lit("NN").alias("pos_tag"))
-    return one.unionByName(two).withColumns({"in_anchor": no, "tf_idf": F.lit(0.0), "bm25": F.lit(0.0)})
+def build(pages: DataFrame, limit: int = config.MAX_BIGRAMS_PER_DOC) -> DataFrame:
+    """All postings of the pages, BM25 not yet computed: each stem, and with it
+    the pair that it begins."""
+    c, no = F.col, F.lit(False)
+    names = ["term", "frequency", "positions", "in_title", "in_description", "in_url", "lemma", "original_forms", "pos_tag"]
+    one = [c("term"), c("frequency"), c("positions"), c("in_title"), c("in_description"), c("in_url"), c("lemma"), c("original_forms"), F.lit("NN")]
+    pair = F.concat_ws(" ", "term", "next")
+    two = [pair, F.lit(1), F.array().cast("array<int>"), no, no, no, pair, F.array("term", "next"), F.lit("BG")]
+    struct = lambda values: F.struct(*[v.alias(n) for v, n in zip(values, names)])
+    begins = (c("rank") <= limit) & c("next").isNotNull()
+    both = F.when(begins, F.array(struct(one), struct(two))).otherwise(F.array(struct(one)))
+    rows = with_next(unigrams(pages)).select("doc_id", F.explode(both).alias("p"))
+    return rows.select("doc_id", "p.*").withColumns({"in_anchor": no, "tf_idf": F.lit(0.0), "bm25": F.lit(0.0)})
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -107,16 +126,26 @@ def corpus_size(pages: DataFrame) -> DataFrame:
     return pages.where("status_code = 200").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("word_count") > 0, F.col("word_count"))), F.lit(0.0)).alias("avgdl"))
 
 
-def refresh_bm25(postings: DataFrame, pages: DataFrame) -> DataFrame:
+def with_frequency(postings: DataFrame) -> DataFrame:
+    """Postings with df, the number of them of the same term.
+
+    The count is aggregated and joined back by a key that is dealt out for the
+    join alone, so Spark may split the postings of a word of most pages."""
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(F.struct("term").alias("_k"), "df")
+    return postings.withColumn("_k", F.struct("term")).join(df, "_k").drop("_k")
+
+
+def refresh_bm25(postings: DataFrame, pages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Postings of status-200 pages with BM25 from the current statistics.
 
-    The term count is aggregated and joined back: a term in most pages is no
-    hot group, since nothing is collected by it."""
+    With ``terms`` (term) only theirs, picked before anything is joined.
+    ``postings`` are read twice: give a written table."""
     live = pages.where("status_code = 200").select(F.col("id").alias("doc_id"), F.col("word_count").alias("dl"))
+    if terms is not None:
+        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     held = postings.drop("bm25").join(live, "doc_id")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = F.broadcast(corpus_size(pages))  # one row
-    scored = held.join(df, "term").join(size)
+    scored = with_frequency(held).join(size)
     c = F.col
     return scored.withColumn("bm25", scores.bm25(c("frequency").cast("double"), c("df").cast("double"), c("n").cast("double"), c("dl").cast("double"), c("avgdl"))).drop("df", "n", "avgdl", "dl")
 

@@ -10,9 +10,12 @@ from tidewell.operators import graph
 
 
 def content_quality(pages: DataFrame) -> DataFrame:
-    """(id, length, density, readability, title, diversity, panda) of status-200 pages: a projection."""
-    parts = scores.content_parts(F.col("title"), F.col("content"), F.col("word_count"))
-    named = pages.where("status_code = 200").select("id", *[p.alias(k) for k, p in parts.items()])
+    """(id, length, density, readability, title, diversity, panda) of status-200 pages: projections."""
+    words = scores.content_words(F.col("title"), F.col("content"), F.col("word_count"))
+    held = pages.where("status_code = 200").select("id", *[w.alias(k) for k, w in words.items()])
+    counted = held.select("id", *[n.alias(k) for k, n in scores.content_numbers().items()])
+    parts = scores.content_parts()
+    named = counted.select("id", *[p.alias(k) for k, p in parts.items()])
     return named.withColumn("panda", scores.content_total({k: F.col(k) for k in parts}))
 
 

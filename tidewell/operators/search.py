@@ -49,7 +49,7 @@ def search(queries: DataFrame, postings: DataFrame, pages: DataFrame, anchors: D
         F.first("n_terms").alias("n_terms"),
         F.first("url").alias("url"),
         *[F.first(s).alias(s) for s in ("pagerank_score", "panda_score", "penguin_score")],
-        F.array_sort(F.collect_set("term")).alias("matched_terms"),
+        F.array_sort(F.collect_list("term")).alias("matched_terms"),
     )
     c = F.col
     coverage = F.greatest(F.lit(0.1), c("k") / F.greatest(c("n_terms"), F.lit(1)))

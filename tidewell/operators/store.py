@@ -1,7 +1,7 @@
 """Upserts, ledgers, statistics and exports over immutable tables.
 
-An upsert makes the next version of a table; the writer publishes it as a new
-folder and moves a pointer file, so readers never see a half-written table."""
+An upsert makes the next version of a table in a folder of its own, which counts
+once its success marker is there, so readers never see a half-written table."""
 
 from __future__ import annotations
 
@@ -64,6 +64,43 @@ def reset_stuck(queue: DataFrame) -> DataFrame:
     return queue.withColumn("status", F.when(F.col("status") == "processing", "pending").otherwise(F.col("status")))
 
 
+def page_by_url(pages: DataFrame, url: str) -> DataFrame:
+    return pages.where(F.col("url") == url).limit(1)
+
+
+def page_by_id(pages: DataFrame, page_id: int) -> DataFrame:
+    return pages.where(F.col("id") == page_id).limit(1)
+
+
+def entities_of(entities: DataFrame, page_id: int) -> DataFrame:
+    """A page's entities, most frequent first."""
+    return entities.where(F.col("doc_id") == page_id).select("entity", "entity_type", "frequency").orderBy(F.desc("frequency"), "entity", "entity_type")
+
+
+def domain_row(domains: DataFrame, name: str) -> DataFrame:
+    return domains.where(F.lower("domain") == name.lower()).limit(1)
+
+
+def update_ranks(pages: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Pages with new ranks (url, rank) where given, and the product of the three scores for all."""
+    new = ranks.select("url", F.col("rank").alias("_rank"))
+    j = pages.join(new, "url", "left").withColumn("pagerank_score", F.coalesce("_rank", "pagerank_score"))
+    product = F.coalesce("pagerank_score", F.lit(0.0)) * F.coalesce("panda_score", F.lit(1.0)) * F.coalesce("penguin_score", F.lit(1.0))
+    return j.withColumn("final_score", product).drop("_rank").select(*pages.columns, *([] if "final_score" in pages.columns else ["final_score"]))
+
+
+def dequeue(queue: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(the best ``n`` pending rows, the queue in which they are processing)."""
+    batch = take_batch(queue, n)
+    return batch, set_status(queue, batch.select("url", F.lit("processing").alias("status")))
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """JSON text as ``schema`` (an array or a map); bad or missing text is empty."""
+    empty = F.array() if schema.startswith("array") else F.create_map()
+    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), empty.cast(schema))
+
+
 def take_batch(queue: DataFrame, n: int) -> DataFrame:
     return queue.where("status = 'pending'").orderBy(F.desc("priority"), "url").limit(n)
 
@@ -71,7 +108,25 @@ def take_batch(queue: DataFrame, n: int) -> DataFrame:
 def domain_stats(pages: DataFrame) -> DataFrame:
     from tidewell.functions import url as u
 
-    return pages.groupBy(u.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("page_count"), F.avg("pagerank_score").alias("avg_pagerank"))
+    crawled = [F.max("crawled_at").alias("last_crawled")] if "crawled_at" in pages.columns else []
+    return pages.groupBy(u.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("page_count"), F.avg("pagerank_score").alias("avg_pagerank"), *crawled)
+
+
+def upsert_domains(old: DataFrame, visits: DataFrame) -> DataFrame:
+    """Domains with the visits (domain, page_count, last_crawled and, where known,
+    crawl_delay, robots_txt, is_blocked) added: counts add up, given values win."""
+    given = [c for c in ("crawl_delay", "robots_txt", "is_blocked", "avg_pagerank") if c in visits.columns]
+    o, n = old.alias("o"), visits.alias("n")
+    j = o.join(n, F.col("o.domain") == F.col("n.domain"), "full")
+    out = {
+        "domain": F.coalesce("o.domain", "n.domain"),
+        "page_count": F.coalesce("o.page_count", F.lit(0)) + F.coalesce("n.page_count", F.lit(0)),
+        "last_crawled": F.greatest("o.last_crawled", "n.last_crawled"),
+    }
+    for c in old.columns:
+        if c not in out:
+            out[c] = F.coalesce(f"n.{c}", f"o.{c}") if c in given else F.col(f"o.{c}")
+    return j.select(*[out[c].cast(old.schema[c].dataType).alias(c) for c in old.columns])
 
 
 def stats(pages: DataFrame, links: DataFrame, postings: DataFrame, entities: DataFrame, domains: DataFrame) -> DataFrame:
@@ -104,27 +159,71 @@ def entity_totals(entities: DataFrame, limit: int = 10_000) -> DataFrame:
 # --- exports --------------------------------------------------------------------
 
 
+def _page_scores() -> list[Column]:
+    c = F.col
+    final = c("pagerank_score") * c("panda_score") * c("penguin_score")
+    return [c("pagerank_score").alias("pagerank"), c("panda_score").alias("panda"), c("penguin_score").alias("penguin"), final.alias("final")]
+
+
 def export_pages(pages: DataFrame, include_content: bool = False) -> DataFrame:
-    """Nested page records, best final score first."""
+    """Nested page records, best final score first.  Columns that ``pages`` lacks are
+    left out; a missing text is empty, a missing language English."""
     c = F.col
     text = lambda x: F.coalesce(c(x), F.lit("")).alias(x)
-    final = c("pagerank_score") * c("panda_score") * c("penguin_score")
-    scores = F.struct(c("pagerank_score").alias("pagerank"), c("panda_score").alias("panda"), c("penguin_score").alias("penguin"), final.alias("final")).alias("scores")
+    kinds = {"headings": "map<string,array<string>>", "entities": "array<struct<text:string,label:string>>"}
+    rest = []
+    for x in ("meta_keywords", "canonical_url", "headings", "entities", "crawled_at", "in_link_count", "out_link_count", "is_indexed"):
+        if x not in pages.columns:
+            continue
+        if x in kinds and pages.schema[x].dataType.simpleString() == "string":
+            rest.append(decoded(c(x), kinds[x]).alias(x))
+        elif x == "entities":
+            rest.append(F.coalesce(c(x), F.array().cast(pages.schema[x].dataType)).alias(x))
+        elif x == "headings":
+            rest.append(F.coalesce(c(x), (F.create_map() if pages.schema[x].dataType.typeName() == "map" else F.array()).cast(pages.schema[x].dataType)).alias(x))
+        else:
+            rest.append(text(x) if x in ("meta_keywords", "canonical_url") else c(x))
     more = [F.substring(F.coalesce("content", F.lit("")), 1, 2000).alias("content_preview")] if include_content else []
-    return pages.where("status_code = 200").select("id", "url", text("title"), text("description"), "word_count", "language", "depth", scores, *more).orderBy(F.desc("scores.final"), "url")
+    language = F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("language")
+    out = pages.where("status_code = 200").select("id", "url", text("title"), text("description"), "word_count", language, "depth", "status_code", F.struct(*_page_scores()).alias("scores"), *rest, *more)
+    return out.orderBy(F.desc("scores.final"), "url")
+
+
+def export_totals(pages: DataFrame, edges: DataFrame, postings: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, value): the numbers that stand beside the exports."""
+    one = lambda df, name, what: df.agg(what.cast("long").alias("value")).select(F.lit(name).alias("name"), "value")
+    live, every = pages.where("status_code = 200"), F.count(F.lit(1))
+    parts = [
+        one(live, "total_pages", every),
+        one(edges, "total_sources", F.countDistinct("src")),
+        one(edges.distinct(), "total_links", every),
+        one(live.where("is_indexed"), "total_indexed", every),
+        one(postings, "unique_terms", F.countDistinct("term")),
+        one(entities.select("entity", "entity_type").distinct(), "unique_entities", every),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def export_scores(pages: DataFrame) -> DataFrame:
-    """(rank, url, final_score), dense sequential ranks by falling score.
+    """(rank, url, title, the scores, in_link_count), dense sequential ranks by falling score.
 
     Ranks come from range partitions: each partition's rows are numbered from
     the count of the better partitions, so no task sees all rows."""
     c = F.col
     final = F.round(c("pagerank_score") * c("panda_score") * c("penguin_score"), 12).alias("final_score")
-    rows = pages.where("status_code = 200").select("url", final)
+    links = F.coalesce(c("in_link_count"), F.lit(0)) if "in_link_count" in pages.columns else F.lit(0)
+    rows = pages.where("status_code = 200").select("url", F.coalesce("title", F.lit("")).alias("title"), *_page_scores()[:3], final, links.cast("long").alias("in_link_count"))
     return sequential(rows, [F.desc("final_score"), F.asc("url")], "rank")
 
 
+def top_scores(pages: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` best rows of ``export_scores``."""
+    return export_scores(pages).where(F.col("rank") <= n)
+
+
 def sequential(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows numbered from 1 by ``order`` without a single-partition window."""
     from tidewell.runtime import Tables
@@ -137,14 +236,22 @@ def sequential(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return sorted_.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + r).drop("_p", "_b")
 
 
-def export_vocabulary(postings: DataFrame, pages: DataFrame, limit: int = 20_000, sources: int = 100) -> DataFrame:
-    """(term, df, source rows) of the most frequent terms, the best ``sources`` pages of each by bm25."""
-    top = postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).orderBy(F.desc("df"), "term").limit(limit)
-    held = postings.join(F.broadcast(top), "term")  # ``limit`` short rows
+def export_vocabulary(postings: DataFrame, pages: DataFrame, limit: int = 20_000, sources: int = 100, refresh: bool = False) -> DataFrame:
+    """Source rows of the most frequent terms, the best ``sources`` pages of each by bm25.
+
+    With ``refresh`` the bm25 of these terms is computed here."""
+    live = pages.where("status_code = 200").select(F.col("id").alias("doc_id"), "url", "title", F.struct(*_page_scores()).alias("page_scores"))
+    held = postings.join(live.select("doc_id"), "doc_id", "left_semi")
+    top = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(limit)
+    if refresh:
+        from tidewell.operators import index
+
+        postings = index.refresh_bm25(postings, pages, top)
+    best = postings.join(F.broadcast(top), "term")  # ``limit`` short rows
     r = F.row_number().over(W.partitionBy("term").orderBy(F.desc("bm25"), "doc_id"))
-    best = held.withColumn("position", r).where(F.col("position") <= sources)
-    named = best.join(pages.where("status_code = 200").select(F.col("id").alias("doc_id"), "url"), "doc_id")
-    return named.select("term", "df", "position", "doc_id", "url", "frequency", F.round("bm25", 6).alias("bm25"), F.slice("positions", 1, 50).alias("positions"), F.struct("in_title", "in_description", "in_url", "in_anchor").alias("field_flags"))
+    named = best.withColumn("position", r).where(F.col("position") <= sources).join(live, "doc_id")
+    flags = F.struct("in_title", "in_description", "in_url", "in_anchor").alias("field_flags")
+    return named.select("term", "df", "position", "doc_id", "url", "title", "frequency", F.round("bm25", 6).alias("bm25"), F.slice("positions", 1, 50).alias("positions"), flags, "lemma", "original_forms", "pos_tag", "page_scores")
 
 
 def export_link_graph(edges: DataFrame) -> DataFrame:
@@ -154,13 +261,15 @@ def export_link_graph(edges: DataFrame) -> DataFrame:
 
 
 def export_entities(entities: DataFrame, pages: DataFrame, limit: int = 10_000, per_entity: int = 20) -> DataFrame:
-    """(entity, entity_type, total_frequency, page_count, position, url): pages matched by name in any case."""
+    """(entity, entity_type, total_frequency, page_count, position, url, title, frequency, pagerank):
+    pages matched by name in any case, the best ``per_entity`` of each."""
     top = entity_totals(entities, limit)
     final = (F.col("pagerank_score") * F.col("panda_score") * F.col("penguin_score")).alias("final")
-    named = entities.select(F.lower("entity").alias("_e"), "doc_id").distinct().join(pages.select(F.col("id").alias("doc_id"), "url", final), "doc_id")
+    named = entities.groupBy(F.lower("entity").alias("_e"), "doc_id").agg(F.sum("frequency").alias("frequency"))
+    named = named.join(pages.select(F.col("id").alias("doc_id"), "url", F.coalesce("title", F.lit("")).alias("title"), F.col("pagerank_score").alias("pagerank"), final), "doc_id")
     j = top.withColumn("_e", F.lower("entity")).join(named, "_e")
     r = F.row_number().over(W.partitionBy("entity", "entity_type").orderBy(F.desc("final"), "doc_id"))
-    return j.withColumn("position", r).where(F.col("position") <= per_entity).select("entity", "entity_type", "total_frequency", "page_count", "position", "url")
+    return j.withColumn("position", r).where(F.col("position") <= per_entity).select("entity", "entity_type", "total_frequency", "page_count", "position", "url", "title", "frequency", "pagerank")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ from tidewell.operators import crawl, graph, index, quality, search, store
 from tidewell.plans import sql as S
 from tidewell.runtime import Tables, ship
 from tidewell.sources import corpus as C
+from tidewell.sources import robots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,10 +76,8 @@ def term_provenance(spark, d):
 
 @query(f"WITH {S.POSTINGS} SELECT doc_id, a || ' ' || b AS bigram, r AS rank FROM pairs WHERE b IS NOT NULL AND r <= 200")
 def bigrams_distinct_stems(spark, d):
-    one = index.unigrams(C.corpus(spark, d))
-    w = W.partitionBy("doc_id").orderBy("first_pos")
-    pairs = one.where("first_pos IS NOT NULL").select("doc_id", F.concat_ws(" ", "term", F.lead("term").over(w)).alias("bigram"), F.lead("term").over(w).alias("b"), F.row_number().over(w).alias("rank"))
-    return pairs.where("b IS NOT NULL AND rank <= 200").select("doc_id", "bigram", c("rank").cast("long").alias("rank"))
+    pairs = index.bigrams(index.unigrams(C.corpus(spark, d)))
+    return pairs.select("doc_id", c("term").alias("bigram"), c("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, {S.process('text')} AS s FROM documents),
@@ -180,7 +179,7 @@ def url_sanity(spark, d):
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS h, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
 k AS (SELECT page_id, unnest(string_split(q, '&')) AS kv FROM p WHERE q <> ''),
-s AS (SELECT page_id, string_agg(kv, '&' ORDER BY kv) AS q FROM k WHERE split_part(kv, '=', 2) <> '' AND split_part(kv, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'msclkid', 'ref', 'source', 'campaign', '_ga', 'mc_cid', 'mc_eid', 'yclid') GROUP BY 1)
+s AS (SELECT page_id, string_agg(kv, '&' ORDER BY kv) AS q FROM k WHERE split_part(kv, '=', 2) <> '' AND split_part(kv, '=', 1) NOT IN (""" + ", ".join(f"'{p}'" for p in config.TRACKING_PARAMETERS) + """) GROUP BY 1)
 SELECT page_id, lower(h) || path || CASE WHEN s.q IS NULL THEN '' ELSE '?' || s.q END AS url FROM p LEFT JOIN s USING (page_id)""")
 def normalize_url(spark, d):
     ship(spark)
@@ -193,6 +192,24 @@ def html_parse(spark, d):
     return p.select("page_id", "title", "description", "language", "noindex", "word_count", "content_hash", F.to_json("headings").alias("headings"))
 
 
+@query("""WITH a AS (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href, unnest(range(0, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))) AS i FROM pages),
+n AS (SELECT url, i, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || regexp_extract(href, '^([^?#]*)', 1) AS dst FROM a WHERE href LIKE '/%')
+SELECT url AS src_url, dst AS dst_url, count(*) AS n FROM n GROUP BY 1, 2""")
+def html_link_targets(spark, d):
+    """The targets, without their places: in these pages all links are in the navigation and relative to the root."""
+    links = html.page_links(html.parse_pages(C.read(spark, d, "pages"), keep_nav_links=True))
+    hrefs = C.read(spark, d, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("h")).where("h LIKE '/%'")
+    many = hrefs.select(c("url").alias("src_url"), F.concat(F.lower(F.regexp_extract("url", "^(https?://[^/?#]*)", 1)), F.regexp_extract("h", "^([^?#]*)", 1)).alias("dst_url")).groupBy("src_url", "dst_url").agg(F.count(F.lit(1)).alias("n"))
+    return links.select("src_url", "dst_url").join(many, ["src_url", "dst_url"], "left").select("src_url", "dst_url", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT page_id, left(replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), 300) AS title, lower(regexp_extract(html, '<html lang="([a-zA-Z]{2})', 1)) AS language,
+replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS h1 FROM pages""")
+def html_fields(spark, d):
+    p = html.parse_pages(C.read(spark, d, "pages"))
+    return p.select("page_id", "title", "language", c("headings")["h1"][0].alias("h1"))
+
+
 @query()
 def html_links(spark, d):
     return html.page_links(html.parse_pages(C.read(spark, d, "pages"), keep_nav_links=True))
@@ -221,9 +238,9 @@ def avg_doc_len(spark, d):
     return index.corpus_size(C.corpus(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _scored(spark, d):
+def _scored(spark, d, terms=None):
     p = C.corpus(spark, d)
-    return p, index.refresh_bm25(index.build(p), p)
+    return p, index.refresh_bm25(Tables(spark).write(index.build(p)), p, terms)
 
 
 @query(f"WITH {S.BM25} SELECT doc_id, term, round(bm25, 6) AS bm25 FROM scored")
@@ -261,16 +278,16 @@ def _search_sql(queries: list[tuple[int, list[str], int]], tail: str) -> str:
   FROM q JOIN scored s USING (term) LEFT JOIN anchors a ON a.term = q.term AND a.dst = s.doc_id), found AS (
   SELECT query_id, doc_id, any_value(url) AS url, round(sum(t) * greatest(0.1e0, count(*) FILTER (WHERE term NOT LIKE '% %') / any_value(n_terms))
     * (ln(1 + 1000 * any_value(pagerank_score)) / 10 + 0.5e0) * greatest(0.01e0, any_value(panda_score)) * greatest(0.01e0, any_value(penguin_score)), 6) AS score,
-    array_to_string(list_sort(list(DISTINCT term)), ' ') AS matched FROM hits GROUP BY query_id, doc_id),
+    array_to_string(list_sort(list(term)), ' ') AS matched FROM hits GROUP BY query_id, doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM found)
 {tail}"""
 
 
 def _results(spark, d, queries: list[tuple[int, str]], synonyms: list[tuple[str, str]] | None = None):
-    p, scored = _scored(spark, d)
-    links = C.page_links(spark, d)
     q = spark.createDataFrame(queries, "query_id long, q string")
     syn = spark.createDataFrame(synonyms, "term string, synonym string") if synonyms else None
+    p, scored = _scored(spark, d, search.query_terms(q, syn))
+    links = C.page_links(spark, d)
     out = search.search(q, scored, p, index.anchor_index(links), syn)
     return p, q, out
 
@@ -336,9 +353,18 @@ def entity_totals(spark, d):
     return store.entity_totals(_entities(spark, d))
 
 
-@query(f"WITH {S.CORPUS}, {S.ENTITIES} SELECT doc_id, entity, url, round(pagerank_score * panda_score * penguin_score, 9) AS final_score FROM entities e JOIN corpus ON id = doc_id WHERE lower(entity) = 'the erer'")
+_NAME = "apache license"  # a run of capitalised words that documents of every scale hold
+
+
+@query(f"WITH {S.CORPUS}, {S.ENTITIES} SELECT doc_id, entity, url, round(pagerank_score * panda_score * penguin_score, 9) AS final_score FROM entities e JOIN corpus ON id = doc_id WHERE lower(entity) = '{_NAME}'")
 def entity_lookup(spark, d):
-    return search.entity_pages(_entities(spark, d), C.corpus(spark, d), "THE THE", limit=1_000_000).select("doc_id", "entity", "url", F.round("final_score", 9).alias("final_score"))
+    return search.entity_pages(_entities(spark, d), C.corpus(spark, d), _NAME.upper(), limit=1_000_000).select("doc_id", "entity", "url", F.round("final_score", 9).alias("final_score"))
+
+
+@query(f"WITH {S.CORPUS}, {S.ENTITIES} SELECT entity, entity_type, frequency FROM entities WHERE doc_id = (SELECT min(doc_id) FROM entities)")
+def entities_of_page(spark, d):
+    e = _entities(spark, d)
+    return store.entities_of(e, e.agg(F.min("doc_id")).first()[0])
 
 
 # --- graph ----------------------------------------------------------------------------------
@@ -363,6 +389,12 @@ def adjacency(spark, d):
     return graph.adjacency(graph.known_edges(n, e)).select("src", _joined(F.transform("targets", lambda x: x.cast("string"))).alias("targets"), F.size("targets").cast("long").alias("degree"))
 
 
+@query(f"WITH {S.DOC_LINKS} SELECT src, string_agg(dst || ':' || coalesce(anchor_text, ''), ' ' ORDER BY dst) AS targets FROM links GROUP BY 1")
+def adjacency_anchors(spark, d):
+    e = graph.adjacency_with_anchors(C.doc_links(spark, d))
+    return e.select("src", _joined(F.transform("targets", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["anchor"]))).alias("targets"))
+
+
 @query(f"WITH {S.SUPPLIER_LINKS} SELECT src, dst FROM known")
 def graph_filtered(spark, d):
     return graph.known_edges(*C.supplier_links(spark, d))
@@ -397,6 +429,25 @@ def ppr_20(spark, d):
     return r.select("node", F.round("rank", 9).alias("rank"))
 
 
+@query(_rank_sql("1 / n").replace("SELECT node, round(rank, 9) AS rank FROM pr WHERE i = 20", "SELECT node FROM pr WHERE i = 20 ORDER BY round(rank, 9) DESC, node LIMIT 5"))
+def top_ranks(spark, d):
+    r = graph.pagerank(*C.supplier_links(spark, d), max_iterations=20, tolerance=None)
+    return graph.top_ranks(r.select("node", F.round("rank", 9).alias("rank"))).select("node")
+
+
+@query(_rank_sql("CASE WHEN nd.node IN (1, 2, 5) THEN 1e0 / 3 ELSE 0 END").replace("m.i < 20", "m.i < 50").replace("i = 20", "i = 50"))
+def ppr_default(spark, d):
+    """As many rounds as a personalised rank has unless told otherwise."""
+    seeds = spark.createDataFrame([(1,), (2,), (5,)], "node long")
+    return graph.pagerank(*C.supplier_links(spark, d), seeds=seeds).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query(_rank_sql("1 / n").replace("m.i < 20", "m.i < 200").replace("SELECT node, round(rank, 9) AS rank FROM pr WHERE i = 20", "SELECT node, round(rank, 6) AS rank FROM pr WHERE i = 200"))
+def pagerank_fixed_point(spark, d):
+    """The converged rank lies within the tolerance of the fixed point."""
+    return graph.pagerank(*C.supplier_links(spark, d), tolerance=1e-12).select("node", F.round("rank", 6).alias("rank"))
+
+
 @query()
 def pagerank_converged(spark, d):
     return graph.pagerank(*C.supplier_links(spark, d))
@@ -511,6 +562,58 @@ def not_indexed(spark, d):
     return store.not_indexed(C.corpus(spark, d)).select("id", "url")
 
 
+@query(f"WITH {S.CORPUS} SELECT id, url, title FROM corpus WHERE url = (SELECT url FROM corpus WHERE id = 17) UNION ALL SELECT id, url, title FROM corpus WHERE id = 42")
+def page_lookup(spark, d):
+    p = C.corpus(spark, d)
+    url = store.page_by_id(p, 17).first()["url"]
+    return store.page_by_url(p, url).select("id", "url", "title").unionByName(store.page_by_id(p, 42).select("id", "url", "title"))
+
+
+@query(f"WITH {S.CORPUS} SELECT 'src3.example.org' AS domain, count(*) AS page_count FROM corpus WHERE url LIKE 'https://src3.example.org/%'")
+def domain_lookup(spark, d):
+    return store.domain_row(store.domain_stats(C.corpus(spark, d)), "SRC3.example.org").select("domain", "page_count")
+
+
+@query(f"""WITH {S.CORPUS} SELECT id, pagerank_score, round(pagerank_score * panda_score * penguin_score, 9) AS final_score FROM (
+  SELECT id, CASE WHEN id % 3 = 0 THEN id % 10 / 10e0 ELSE pagerank_score END AS pagerank_score, panda_score, penguin_score FROM corpus)""")
+def rank_update(spark, d):
+    p = C.corpus(spark, d)
+    new = p.where("id % 3 = 0").select("url", (c("id") % 10 / 10).alias("rank"))
+    return store.update_ranks(p, new).select("id", "pagerank_score", F.round("final_score", 9).alias("final_score"))
+
+
+@query(f"""WITH {S.CORPUS}, v AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS domain, id FROM corpus)
+SELECT domain, count(*) FILTER (WHERE id % 2 = 0) + 2 * count(*) FILTER (WHERE id % 3 = 0) AS page_count, CAST(max(CASE WHEN id % 3 = 0 THEN id + 1 WHEN id % 2 = 0 THEN id END) AS BIGINT) AS last
+FROM v WHERE id % 2 = 0 OR id % 3 = 0 GROUP BY 1""")
+def domain_upsert(spark, d):
+    p = C.corpus(spark, d).withColumn("crawled_at", F.timestamp_seconds("id"))
+    again = p.where("id % 3 = 0").withColumn("crawled_at", F.timestamp_seconds(c("id") + 1))
+    old = store.domain_stats(p.where("id % 2 = 0")).withColumn("crawl_delay", F.lit(1.0))
+    out = store.upsert_domains(store.upsert_domains(old, store.domain_stats(again)), store.domain_stats(again))
+    return out.select("domain", "page_count", F.unix_timestamp("last_crawled").alias("last"))
+
+
+_ROBOTS = "User-agent: *\nDisallow: /en/\nCrawl-delay: 2\n"
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, h LIKE '%.com' AND path NOT LIKE '/en/%' AS allowed, CASE WHEN h LIKE '%.com' THEN 2e0 ELSE 1e0 END AS delay FROM p""")
+def robots_allowed(spark, d):
+    """Rules for the hosts under .com; the others have none, and are denied."""
+    p = C.read(spark, d, "pages").select("page_id", "url")
+    rules = p.select(u.domain(c("url")).alias("domain")).where(c("domain").endswith(".com")).distinct().withColumn("robots_txt", F.lit(_ROBOTS))
+    return robots.can_fetch(p, rules).select("page_id", "allowed", "delay")
+
+
+@query("""WITH q AS (SELECT url, length(url) / 1e3 AS priority, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages)
+SELECT url, (row_number() OVER (PARTITION BY h ORDER BY priority DESC, url) - 1) * CASE WHEN h LIKE '%.com' THEN 2e0 ELSE 1e0 END AS start_s FROM q""")
+def robots_schedule(spark, d):
+    """Each host waits its own delay."""
+    p = C.read(spark, d, "pages").select("url", (F.length("url") / 1000.0).alias("priority"))
+    rules = p.select(u.domain(c("url")).alias("domain")).where(c("domain").endswith(".com")).distinct().withColumn("robots_txt", F.lit(_ROBOTS))
+    return crawl.politeness(robots.can_fetch(p, rules), "delay").select("url", "start_s")
+
+
 def _queue(spark, d):
     p = C.corpus(spark, d)
     return p.select("url", u.priority(c("url"), c("depth")).alias("priority"), "depth", F.when(c("id") % 4 == 0, "done").when(c("id") % 4 == 1, "processing").otherwise("pending").alias("status"))
@@ -525,6 +628,12 @@ def frontier_topk(spark, d):
     return store.take_batch(_queue(spark, d), 100).select("url", "priority")
 
 
+@query(f"""WITH {_QUEUE}, best AS (SELECT url FROM queue WHERE status = 'pending' ORDER BY priority DESC, url LIMIT 100)
+SELECT CASE WHEN url IN (SELECT url FROM best) THEN 'processing' ELSE status END AS status, count(*) AS n FROM queue GROUP BY 1""")
+def frontier_dequeue(spark, d):
+    return store.dequeue(_queue(spark, d), 100)[1].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_QUEUE} SELECT CASE status WHEN 'processing' THEN 'pending' ELSE status END AS status, count(*) AS n FROM queue GROUP BY 1")
 def queue_reset(spark, d):
     return store.reset_stuck(_queue(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -557,18 +666,40 @@ def stats(spark, d):
     return store.stats(p, C.doc_links(spark, d), index.build(p), _entities(spark, d), none)
 
 
-@query(f"""WITH {S.CORPUS} SELECT id, url, title, language, CAST(word_count AS BIGINT) AS word_count, round(pagerank_score * panda_score * penguin_score, 9) AS final, left(content, 2000) AS content_preview FROM corpus WHERE status_code = 200""")
+@query(f"""WITH {S.CORPUS} SELECT id, url, title, language, CAST(word_count AS BIGINT) AS word_count, round(pagerank_score * panda_score * penguin_score, 9) AS final, left(content, 2000) AS content_preview,
+  '{{"h1":["' || lang || '"]}}' AS headings, CASE WHEN id % 4 = 0 THEN 'Ada:PERSON' ELSE '' END AS entities, id % 7 AS in_link_count, id % 5 AS out_link_count, is_indexed, 200 AS status_code
+  FROM (SELECT *, language AS lang FROM corpus) WHERE status_code = 200""")
 def export_pages(spark, d):
-    e = store.export_pages(C.corpus(spark, d), include_content=True)
-    return e.select("id", "url", "title", "language", "word_count", F.round("scores.final", 9).alias("final"), "content_preview")
+    """Headings and entities are stored as JSON text here; every fourth entity text is whole, the others are broken or missing."""
+    entities = F.when(c("id") % 4 == 0, F.lit('[{"text":"Ada","label":"PERSON"}]')).when(c("id") % 4 == 1, F.lit("[{broken"))
+    p = C.corpus(spark, d).withColumns({"headings": F.concat(F.lit('{"h1":["'), "language", F.lit('"]}')), "entities": entities, "in_link_count": c("id") % 7, "out_link_count": c("id") % 5})
+    e = store.export_pages(p, include_content=True)
+    named = _joined(F.transform("entities", lambda x: F.concat_ws(":", x["text"], x["label"])))
+    return e.select("id", "url", "title", "language", "word_count", F.round("scores.final", 9).alias("final"), "content_preview", F.to_json("headings").alias("headings"), named.alias("entities"), "in_link_count", "out_link_count", "is_indexed", "status_code")
+
+
+@query(f"""WITH {S.POSTINGS}, {S.DOC_LINKS}, {S.ENTITIES} SELECT 'total_pages' AS name, count(*) AS value FROM corpus WHERE status_code = 200
+UNION ALL SELECT 'total_sources', count(DISTINCT src) FROM links UNION ALL SELECT 'total_links', count(*) FROM links UNION ALL SELECT 'total_indexed', count(*) FROM corpus WHERE status_code = 200 AND is_indexed
+UNION ALL SELECT 'unique_terms', count(DISTINCT term) FROM postings UNION ALL SELECT 'unique_entities', count(*) FROM (SELECT DISTINCT entity, entity_type FROM entities)""")
+def export_totals(spark, d):
+    p = C.corpus(spark, d)
+    return store.export_totals(p, C.doc_links(spark, d).select("src", "dst"), index.build(p), _entities(spark, d))
+
+
+@query(f"""WITH {S.CORPUS} SELECT row_number() OVER (ORDER BY round(pagerank_score * panda_score * penguin_score, 12) DESC, url) AS rank, url, title, pagerank_score AS pagerank, panda_score AS panda, penguin_score AS penguin
+FROM corpus WHERE status_code = 200 QUALIFY rank <= 10""")
+def export_top_10(spark, d):
+    return store.top_scores(C.corpus(spark, d)).select("rank", "url", "title", "pagerank", "panda", "penguin")
 
 
 @query(f"""WITH {S.BM25}, top AS (SELECT term, count(DISTINCT doc_id) AS df FROM scored GROUP BY 1 ORDER BY df DESC, term LIMIT 200)
-SELECT term, top.df AS df, row_number() OVER (PARTITION BY term ORDER BY bm25 DESC, doc_id) AS position, doc_id, round(bm25, 6) AS bm25 FROM scored JOIN top USING (term) QUALIFY position <= 20""")
+SELECT term, top.df AS df, row_number() OVER (PARTITION BY term ORDER BY bm25 DESC, doc_id) AS position, doc_id, round(bm25, 6) AS bm25, url, in_title, in_url, lemma, pos_tag, pagerank_score AS pagerank, panda_score AS panda
+FROM scored JOIN top USING (term) QUALIFY position <= 20""")
 def export_vocab_sources(spark, d):
-    p, s = _scored(spark, d)
-    e = store.export_vocabulary(s, p, limit=200, sources=20)
-    return e.select("term", "df", c("position").cast("long").alias("position"), "doc_id", "bm25")
+    p = C.corpus(spark, d)
+    e = store.export_vocabulary(Tables(spark).write(index.build(p)), p, limit=200, sources=20, refresh=True)
+    flags, scored = [c(f"field_flags.{f}") for f in ("in_title", "in_url")], [c(f"page_scores.{f}") for f in ("pagerank", "panda")]
+    return e.select("term", "df", c("position").cast("long").alias("position"), "doc_id", "bm25", "url", *flags, "lemma", "pos_tag", *scored)
 
 
 @query(f"WITH {S.CORPUS}, {S.DOC_LINKS} SELECT s.url AS src, string_agg(t.url, ' ' ORDER BY t.url) AS targets FROM links JOIN corpus s ON s.id = src JOIN corpus t ON t.id = dst GROUP BY 1")
@@ -577,9 +708,12 @@ def export_link_graph(spark, d):
     return store.export_link_graph(e).select("src", _joined("targets").alias("targets"))
 
 
-@query()
+@query(f"""WITH {S.CORPUS}, {S.ENTITIES}, top AS (SELECT entity, entity_type, CAST(sum(frequency) AS BIGINT) AS total_frequency, count(DISTINCT doc_id) AS page_count FROM entities GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 500),
+named AS (SELECT lower(entity) AS e, doc_id, CAST(sum(frequency) AS BIGINT) AS frequency FROM entities GROUP BY 1, 2)
+SELECT top.*, row_number() OVER (PARTITION BY top.entity, entity_type ORDER BY pagerank_score * panda_score * penguin_score DESC, doc_id) AS position, url, title, named.frequency, pagerank_score AS pagerank
+FROM top JOIN named ON e = lower(entity) JOIN corpus ON id = doc_id QUALIFY position <= 20""")
 def export_entities(spark, d):
-    return store.export_entities(_entities(spark, d), C.corpus(spark, d), limit=500)
+    return store.export_entities(_entities(spark, d), C.corpus(spark, d), limit=500).withColumn("position", c("position").cast("long"))
 
 
 @query()

@@ -30,7 +30,7 @@ def words(x: str) -> str:
 
 CORPUS = f"""corpus AS (
   SELECT doc_id AS id, 'https://' || source || '.example.org/' || lang || '/' || doc_id AS url,
-    left(split_part(text, chr(10), 1), 300) AS title, '' AS description, left(text, {config.CONTENT_LIMIT}) AS content, md5(text) AS content_hash,
+    left(split_part(text, chr(10), 1), 300) AS title, '' AS description, text AS content, md5(text) AS content_hash,
     len({words('text')}) AS word_count, lang AS language, CASE WHEN doc_id % 50 = 49 THEN 404 ELSE 200 END AS status_code,
     doc_id % 4 AS depth, (doc_id % 97) / 1e4 AS pagerank_score, 1e0 - (doc_id % 5) / 1e1 AS panda_score, 1e0 - (doc_id % 3) / 1e1 AS penguin_score,
     doc_id % 7 <> 0 AS is_indexed
@@ -87,5 +87,5 @@ ENTITIES = """entities AS (
   SELECT id AS doc_id, e AS entity, 'NAME' AS entity_type, 1 AS frequency FROM (
     SELECT id, lower(e) AS k, arg_min(e, i) AS e, min(i) AS i FROM (
       SELECT id, unnest(r) AS e, unnest(range(1, len(r) + 1)) AS i FROM (
-        SELECT id, regexp_extract_all(left(title || '. ' || description || '. ' || content, 6000), '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS r FROM corpus))
+        SELECT id, regexp_extract_all(left(title || '. ' || description || '. ' || '' || '. ' || content, 6000), '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS r FROM corpus))
     GROUP BY id, lower(e)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 50)"""

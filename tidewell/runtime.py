@@ -30,13 +30,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local temporary one where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir.  Where that is unset, a temporary one with a
+    local master, whose executors share it; an error with any other."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='scratch-')}")
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()

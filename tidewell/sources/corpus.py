@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell import config
 from tidewell.functions import text as tx
 
 
@@ -22,7 +21,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), i.cast("string")).alias("url"),
         F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"),
         F.lit("").alias("description"),
-        F.substring("text", 1, config.CONTENT_LIMIT).alias("content"),
+        F.col("text").alias("content"),
         F.md5("text").alias("content_hash"),
         tx.word_count(F.col("text")).alias("word_count"),
         F.col("lang").alias("language"),

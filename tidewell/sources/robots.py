@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -18,12 +19,16 @@ def fresh(robots: DataFrame, now, ttl: int = config.ROBOTS_TTL_SECONDS) -> DataF
     return robots.where(F.unix_timestamp(now) - F.unix_timestamp("fetched_at") < ttl)
 
 
-def _allowed(url: str, text: str | None, agent: str, missing: bool) -> bool:
-    if text is None:
-        return missing
+@functools.lru_cache(maxsize=256)
+def _rules(text: str) -> RobotFileParser:
+    """The parsed rules; a worker parses a text once."""
     rules = RobotFileParser()
     rules.parse(text.splitlines())
-    return rules.can_fetch(agent, url)
+    return rules
+
+
+def _allowed(url: str, text: str | None, agent: str, missing: bool) -> bool:
+    return missing if text is None else _rules(text).can_fetch(agent, url)
 
 
 def can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*", on_missing: str = "deny") -> DataFrame:
@@ -40,17 +45,16 @@ def can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*", on_missing:
     def delay(text: pd.Series) -> pd.Series:
         return text.map(lambda t: crawl_delay(t, agent))
 
-    rules = robots.select(F.col("domain").alias("_d"), "robots_txt")
+    rules = robots.select(F.col("domain").alias("_d"), F.col("robots_txt").alias("_text"), delay("robots_txt").alias("_delay"))
     j = urls.join(rules, u.domain(F.col("url")) == F.col("_d"), "left")
-    return j.withColumn("allowed", allowed("url", "robots_txt")).withColumn("delay", delay("robots_txt")).drop("_d", "robots_txt")
+    wait = F.coalesce("_delay", F.lit(config.ROBOTS_DEFAULT_DELAY))
+    return j.withColumn("allowed", allowed("url", "_text")).withColumn("delay", wait).drop("_d", "_text", "_delay")
 
 
 def crawl_delay(text: str | None, agent: str = "*") -> float:
     if text is None:
         return config.ROBOTS_DEFAULT_DELAY
-    rules = RobotFileParser()
-    rules.parse(text.splitlines())
-    found = rules.crawl_delay(agent)
+    found = _rules(text).crawl_delay(agent)
     return float(found) if found is not None else config.ROBOTS_DEFAULT_DELAY
 
 
