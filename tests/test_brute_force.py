@@ -1,6 +1,7 @@
 """Queries that SQL cannot say, over sf0.001, against plain code."""
 
 import heapq
+import random
 import re
 
 import numpy as np
@@ -177,6 +178,15 @@ def test_functions(spark):
     assert [r[0] for r in hrefs.select(u.is_followable(F.col("h"))).collect()] == [True, False, False, False, False, True]
 
 
+def test_normalized_urls(spark):
+    """The expression, and the worker for what it leaves, against the standard library's rules."""
+    rng, parts = random.Random(3), ["http://", "HTTPS://", "ftp://", "//", "A.com", "b.org:80", "c.net:443", "d.é", "/", "/a", "/x.PDF", "/y.html", "/../z", ";p=1", "?", "?b=2&a=1", "?utm_source=q&A=1", "?REF=1", "?x=&y", "?a-b=1&a=2", "?q=a b", "?q=%41", "?a=1=2", "&k=v", "#f", "é", " "]
+    urls = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(3000)] + [rng.choice(parts[:2]) + "".join(rng.choice(parts[4:25]) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    got = {r["url"]: r["n"] for r in spark.createDataFrame([(x,) for x in urls], "url string").select("url", u.normalize(F.col("url")).alias("n")).collect()}
+    assert {x: u.normalize_one(x) for x in got} == got
+    assert spark.createDataFrame([(None,)], "url string").select(u.normalize(F.col("url"))).first()[0] is None
+
+
 def test_decoded(spark):
     rows = spark.createDataFrame([('["a","b"]',), ("[broken",), (None,), ("{}",)], "t string")
     assert [r[0] for r in rows.select(store.decoded(F.col("t"), "array<string>")).collect()] == [["a", "b"], [], [], []]

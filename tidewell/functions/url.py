@@ -1,7 +1,8 @@
 """URL functions.
 
-``normalize`` is exact (the standard library's URL rules in an Arrow batch
-UDF); the others are Column expressions."""
+``normalize`` is exact: the standard library's URL rules in an Arrow batch UDF,
+and an expression with the same result for plain urls.  The others are Column
+expressions."""
 
 from __future__ import annotations
 
@@ -81,5 +82,33 @@ def normalize_one(url: str | None, base: str | None = None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def normalize(url: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([normalize_one(u, b) for u, b in zip(url, base)], dtype=object)
+def _normalize(url: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else normalize_one(u, b) for u, b in zip(url, base)], dtype=object)
+
+
+_SAFE = "A-Za-z0-9._~-"
+_ITEM = f"[{_SAFE}]*(?:=[{_SAFE}]*)?"
+#: Absolute urls whose characters the standard library neither decodes nor encodes.
+_PLAIN = rf"^[hH][tT][tT][pP][sS]?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[/{_SAFE}]*)?(?:\?{_ITEM}(?:&{_ITEM})*)?(?:#.*)?$"
+
+
+def _normalize_plain(url: Column) -> Column:
+    """``normalize_one`` of a url that matches _PLAIN, as an expression."""
+    part = lambda pattern: F.regexp_extract(url, pattern, 1)
+    scheme, host = F.lower(part("^([^:]*)://")), F.lower(part("^[^:]*://([^/?#]*)"))
+    port = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    path, query = part("^[^:]*://[^/?#]*([^?#]*)"), part(r"^[^?#]*\?([^#]*)")
+    items = F.transform(F.split(query, "&"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.substring_index(x, "=", -1)).otherwise("").alias("v")))
+    kept = F.array_sort(F.filter(items, lambda i: (i["v"] != "") & ~F.lower(i["k"]).isin(config.TRACKING_PARAMETERS)))
+    joined = F.array_join(F.transform(kept, lambda i: F.concat(i["k"], F.lit("="), i["v"])), "&")
+    blocked = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin(config.BLOCKED_EXTENSIONS)
+    return F.when(~blocked, F.concat(scheme, F.lit("://"), port, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")))
+
+
+def normalize(url: Column, base: Column | None = None) -> Column:
+    """``normalize_one`` of a column.  Plain absolute urls without a base stay in the JVM;
+    the Python worker gets the others, and a null for each of these."""
+    if base is None:
+        plain = F.coalesce(url.rlike(_PLAIN), F.lit(False))
+        return F.when(plain, _normalize_plain(url)).otherwise(_normalize(F.when(~plain, url), F.lit(None).cast("string")))
+    return _normalize(url, base)

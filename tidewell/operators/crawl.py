@@ -28,7 +28,7 @@ def politeness(urls: DataFrame, delay: float | str = 1.0) -> DataFrame:
 
 def seed(spark, urls: list[str]) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x in urls], "raw string")
-    norm = rows.select(u.normalize(F.col("raw"), F.lit(None).cast("string")).alias("url")).where("url IS NOT NULL").distinct()
+    norm = rows.select(u.normalize(F.col("raw")).alias("url")).where("url IS NOT NULL").distinct()
     return norm.select("url", F.lit(1.0).alias("priority"), F.lit(0).alias("depth"))
 
 
@@ -53,7 +53,7 @@ def bfs(
     spark = frontier.sparkSession
     tables = Tables(spark)
     seen = [tables.write(frontier.select("url", "priority", "depth"))]
-    by_url = source.select(u.normalize(F.col("url"), F.lit(None).cast("string")).alias("url"), "html").where("url IS NOT NULL").dropDuplicates(["url"])
+    by_url = source.select(u.normalize(F.col("url")).alias("url"), "html").where("url IS NOT NULL").dropDuplicates(["url"])
     by_url = tables.write(by_url)
     stored, done, count = [], [], {"stored": 0, "filtered": 0, "denied": 0}
     for _ in range(rounds):

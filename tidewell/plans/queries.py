@@ -183,7 +183,7 @@ s AS (SELECT page_id, string_agg(kv, '&' ORDER BY kv) AS q FROM k WHERE split_pa
 SELECT page_id, lower(h) || path || CASE WHEN s.q IS NULL THEN '' ELSE '?' || s.q END AS url FROM p LEFT JOIN s USING (page_id)""")
 def normalize_url(spark, d):
     ship(spark)
-    return C.read(spark, d, "pages").select("page_id", u.normalize(c("url"), F.lit(None).cast("string")).alias("url"))
+    return C.read(spark, d, "pages").select("page_id", u.normalize(c("url")).alias("url"))
 
 
 @query()
@@ -721,7 +721,7 @@ def crawl_bfs(spark, d):
     """Two rounds from every url of the page source; links of the navigation are followed."""
     ship(spark)
     source = C.read(spark, d, "pages").select("url", "html")
-    first = source.select(u.normalize(c("url"), F.lit(None).cast("string")).alias("url")).where("url IS NOT NULL").distinct()
+    first = source.select(u.normalize(c("url")).alias("url")).where("url IS NOT NULL").distinct()
     stored, _ = crawl.bfs(first.select("url", F.lit(1.0).alias("priority"), F.lit(0).alias("depth")), source, rounds=2, batch=1_000_000, languages=["en", "de"], keep_nav_links=True)
     return stored.select("url", "depth", "title", "language", "word_count")
 
