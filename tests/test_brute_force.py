@@ -9,13 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tidewell import config
-from tidewell.functions import analyzers, html
+from tidewell import config, schemas
+from tidewell.functions import analyzers, html, register
 from tidewell.functions import text as tx
 from tidewell.functions import url as u
 from tidewell.operators import crawl, store
 from tidewell.plans import queries
-from tidewell.sources import corpus
+from tidewell.sources import corpus, web
 from tidewell.streaming import incremental
 
 
@@ -204,3 +204,35 @@ def test_frontier_takes_the_best(spark):
     batch, queue = store.dequeue(spark.createDataFrame(rows, "url string, priority double, depth int, status string"), 4)
     want = {x[0] for x in heapq.nlargest(4, rows, key=lambda r: r[1])}
     assert {r["url"] for r in batch.collect()} == want == {r["url"] for r in queue.where("status = 'processing'").collect()}
+
+
+def test_pages_over_http(spark):
+    calls, waits = [], []
+
+    def opener(url):
+        calls.append(url)
+        if url.endswith("/down") or (url.endswith("/late") and calls.count(url) < 3):
+            raise OSError("no answer")
+        body = b"x" * 6_000_000 if url.endswith("/big") else "<p>é".encode()
+        return ("application/pdf" if url.endswith("/pdf") else "text/html; charset=utf-8"), iter([body[i : i + 8192] for i in range(0, len(body), 8192)])
+
+    assert web.read_html("http://a.com/", opener, waits.append) == "<p>é" and not waits
+    assert web.read_html("http://a.com/late", opener, waits.append) == "<p>é" and len(waits) == 2 and 1 <= waits[0] < 2 <= waits[1] < 3
+    assert [web.read_html(f"http://a.com/{x}", opener, waits.append) for x in ("down", "big", "pdf")] == [None, None, None]
+    urls = spark.createDataFrame([("http://a.com/1", 0.5), ("http://a.com/pdf", 0.5), ("http://b.com/", None)], "url string, delay double")
+    page = lambda url: ("application/pdf" if url.endswith("/pdf") else "text/html", iter([url.encode()]))
+    assert sorted(tuple(r) for r in web.fetch(urls, page, lambda s: None).collect()) == [("http://a.com/1", "http://a.com/1"), ("http://b.com/", "http://b.com/")]
+
+
+def test_registered_functions(spark):
+    names = register.register(spark)
+    row = spark.sql("SELECT url_domain('HTTPS://A.com/x') d, text_tokens('It\\'s a State-of-the-art Thing') t, word_stem('running') s, length_score(300L) l, normalize_url('http://A.com:80/?b=1&a=2') n, porter_stem('ponies') p").first()
+    assert tuple(row) == ("a.com", ["it's", "a", "state-of-the-art", "thing"], "runn", 0.5, "http://a.com/?a=2&b=1", "poni") and len(names) == 6
+
+
+def test_created_tables(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS made")
+    schemas.create(spark, str(tmp_path), "made")
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES IN made").collect()} == set(schemas.TABLES)
+    assert spark.table("made.pages").columns == schemas.empty(spark, "pages").columns
+    spark.sql("DROP DATABASE made CASCADE")

@@ -174,7 +174,7 @@ class Engine:
         pages, postings, entities = self._table("pages"), self._table("inverted_index"), self._table("named_entities")
         edges = self._table("links").select(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"))
         made = {
-            "totals": lambda: store.export_totals(pages, edges, postings, entities),
+            "totals": lambda: store.export_totals(pages, edges, postings, entities).withColumn("exported_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
             "top_scores": lambda: store.top_scores(pages),
             "crawled_pages": lambda: store.export_pages(pages),
             "link_graph": lambda: store.export_link_graph(edges),

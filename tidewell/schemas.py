@@ -34,6 +34,12 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
+def create(spark: SparkSession, root: str, database: str = "default") -> None:
+    """The stored tables in the session's catalog, as parquet folders under ``root``."""
+    for name, columns in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet LOCATION '{root.rstrip('/')}/{name}'")
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of ``table`` in order and type; absent ones get their default or
     null (additive evolution), others are dropped."""
