@@ -114,7 +114,7 @@ def test_line_dedup_brute_force(spark):
             if len(x) >= line_dedup.MIN_CHARS:
                 seen.append(x)
         want[d] = "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(df).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(df, exact_chars=line_dedup.MIN_CHARS).collect()} == want
 
 
 def test_embedding_brute_force(spark):

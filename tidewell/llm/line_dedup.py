@@ -2,9 +2,9 @@
 
 A line goes if an earlier one, of any document, lies within edit distance 1.
 Lines are compared without the spaces, tabs and carriage returns around them;
-those under MIN_CHARS characters have no neighbours, and go only as exact
-repeats, if they have ``exact_chars`` characters.  Earlier means a smaller
-(doc_id, text hash, line number).
+those under MIN_CHARS characters have no neighbours (``Part 1`` and ``Part 2``
+are different lines), and go as exact repeats, from ``exact_chars`` characters
+on.  Earlier means a smaller (doc_id, text hash, line number).
 
 1. Equal lines meet by a 128-bit hash; the earliest occurrence is kept
    (aggregated before the shuffle, so a very common line is no hot key).
@@ -111,7 +111,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     return met.where(F.levenshtein("line", "other", MAX_EDITS) >= 0).select("at").distinct()
 
 
-def surviving(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
+def surviving(docs: DataFrame, exact_chars: int = 1) -> DataFrame:
     """(doc_id, th, kept_pos): places of each document's surviving lines among
     those that may be removed.  ``docs``: (doc_id, th, text)."""
     scratch = common.Scratch(docs.sparkSession)
@@ -132,10 +132,10 @@ def surviving(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
     return kept.select("at.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("kept_pos"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_chars: int = 1) -> DataFrame:
     """All columns of ``docs`` with the surviving text, and n_lines, n_removed
     (which replace columns of those names).  Exact repeats go from
-    ``exact_chars`` characters on: with 1, those of every line that is not blank."""
+    ``exact_chars`` characters on, so by default those of every line that is not blank."""
     exact_chars = max(1, min(exact_chars, MIN_CHARS))
     body = F.col(text).cast("string")
     kept = surviving(docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th")), exact_chars)
