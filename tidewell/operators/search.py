@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewell import config
 from tidewell.functions import scores
 from tidewell.functions import text as tx
+from tidewell.runtime import broadcast_if_few
 
 
 def query_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def query_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFr
     stems = queries.select("query_id", tx.process(F.col("q")).alias("stems"))
     if synonyms is not None:
         first = stems.select("query_id", F.posexplode(F.slice("stems", 1, 5)).alias("i", "term"))
-        more = first.join(F.broadcast(synonyms), "term").select("query_id", F.struct("i", "synonym").alias("s"))
+        more = first.join(broadcast_if_few(synonyms), "term").select("query_id", F.struct("i", "synonym").alias("s"))
         more = more.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: tx.stem(s["synonym"])).alias("added"))
         stems = stems.join(more, "query_id", "left").select("query_id", F.concat("stems", F.array_except(F.array_distinct(F.coalesce("added", F.array().cast("array<string>"))), "stems")).alias("stems"))
     return stems.select("query_id", F.size("stems").alias("n_terms"), F.explode(F.concat("stems", tx.bigrams(F.col("stems")))).alias("term"))
@@ -32,7 +33,7 @@ def search(queries: DataFrame, postings: DataFrame, pages: DataFrame, anchors: D
 
     ``postings`` carry bm25; ``pages`` url and the three page scores.  A page
     needs a posting to be found; anchor hits only add to it."""
-    terms = F.broadcast(query_terms(queries, synonyms))  # a batch of short queries
+    terms = broadcast_if_few(query_terms(queries, synonyms), queries)  # a few terms a query
     live = pages.where("status_code = 200").select(F.col("id").alias("doc_id"), "url", "pagerank_score", "panda_score", "penguin_score")
     hits = postings.select("term", "doc_id", "bm25", "in_title", "in_description", "in_url").join(terms, "term").join(live, "doc_id")
     pair = F.col("term").contains(" ")
@@ -69,7 +70,7 @@ def with_snippets(results: DataFrame, pages: DataFrame, queries: DataFrame) -> D
     """Adds title, description and snippet to a page of results."""
     shown = results.join(queries.select("query_id", tx.process(F.col("q")).alias("_stems")), "query_id")
     body = pages.select(F.col("id").alias("doc_id"), "title", "description", "content")
-    joined = body.join(F.broadcast(shown), "doc_id").withColumn("_words", tx.words(F.col("content")))  # a page of results a query
+    joined = body.join(broadcast_if_few(shown, queries), "doc_id").withColumn("_words", tx.words(F.col("content")))  # a page of results a query
     return joined.withColumn("snippet", tx.snippet(F.col("_words"), F.col("_stems"))).drop("content", "_stems", "_words")
 
 

@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -26,9 +27,16 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, os.path.relpath(p, root.parent))
     sc.addPyFile(f.name)
+    atexit.register(Path(f.name).unlink, missing_ok=True)
     _shipped.add(sc.applicationId)
 
 
+def broadcast_if_few(df: DataFrame, counted: DataFrame | None = None, rows: int = 20_000) -> DataFrame:
+    """``df`` marked for broadcast if ``counted`` (itself by default), which bounds it, has at most ``rows`` rows."""
+    few = (df if counted is None else counted).limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir.  Where that is unset, a temporary one with a
     local master, whose executors share it; an error with any other."""
