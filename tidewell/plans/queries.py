@@ -15,7 +15,7 @@ from tidewell.functions import text as tx
 from tidewell.functions import url as u
 from tidewell.operators import crawl, graph, index, quality, search, store
 from tidewell.plans import sql as S
-from tidewell.runtime import Tables, ship
+from tidewell.runtime import Tables, ship, spread
 from tidewell.sources import corpus as C
 from tidewell.sources import robots
 
@@ -44,23 +44,23 @@ def _joined(x):
 @query(f"SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS tokens, CAST(len({S.tokens('text')}) AS BIGINT) AS n FROM documents")
 def tokenize(spark, d):
     t = tx.tokenize(c("text"))
-    return C.read(spark, d, "documents").select("doc_id", _joined(t).alias("tokens"), F.size(t).cast("long").alias("n"))
+    return C.documents(spark, d).select("doc_id", _joined(t).alias("tokens"), F.size(t).cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, array_to_string({S.clean('text')}, ' ') AS tokens FROM documents")
 def clean_tokens(spark, d):
-    return C.read(spark, d, "documents").select("doc_id", _joined(tx.clean_tokens(c("text"))).alias("tokens"))
+    return C.documents(spark, d).select("doc_id", _joined(tx.clean_tokens(c("text"))).alias("tokens"))
 
 
 @query(f"SELECT token, {S.stem('token')} AS stem, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS token FROM documents) GROUP BY ALL")
 def stem_suffix(spark, d):
-    t = C.read(spark, d, "documents").select(F.explode(tx.tokenize(c("text"))).alias("token"))
+    t = C.documents(spark, d).select(F.explode(tx.tokenize(c("text"))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", tx.stem(c("token")).alias("stem"), "n")
 
 
 @query(f"SELECT doc_id, array_to_string({S.process('text')}, ' ') AS stems FROM documents")
 def process_text(spark, d):
-    return C.read(spark, d, "documents").select("doc_id", _joined(tx.process(c("text"))).alias("stems"))
+    return C.documents(spark, d).select("doc_id", _joined(tx.process(c("text"))).alias("stems"))
 
 
 @query(f"WITH {S.POSTINGS} SELECT doc_id, term, string_agg(pos, ' ' ORDER BY pos) AS positions, count(*) AS n FROM body GROUP BY ALL")
@@ -84,7 +84,7 @@ def bigrams_distinct_stems(spark, d):
 b AS (SELECT doc_id, unnest(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) AS bigram FROM s)
 SELECT doc_id, bigram, count(*) AS frequency FROM b GROUP BY ALL HAVING count(*) >= 2""")
 def bigrams_min_freq(spark, d):
-    p = C.read(spark, d, "documents").select(c("doc_id").alias("id"), c("text").alias("content"))
+    p = C.documents(spark, d).select(c("doc_id").alias("id"), c("text").alias("content"))
     return index.adjacent_bigrams(p).withColumnRenamed("term", "bigram")
 
 
@@ -93,7 +93,7 @@ _SYL = "greatest(1, len(regexp_extract_all({0}, '[aeiouy]+')) - CASE WHEN {0} LI
 
 @query(f"SELECT token, CAST({_SYL.format('token')} AS BIGINT) AS syllables FROM (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM documents)")
 def syllables(spark, d):
-    t = C.read(spark, d, "documents").select(F.explode(tx.tokenize(c("text"))).alias("token")).distinct()
+    t = C.documents(spark, d).select(F.explode(tx.tokenize(c("text"))).alias("token")).distinct()
     return t.select("token", tx.syllables(c("token")).cast("long").alias("syllables"))
 
 
@@ -115,12 +115,12 @@ def readability(spark, d):
 @query(f"""WITH s AS (SELECT doc_id, {S.process('text')} AS s FROM documents)
 SELECT doc_id, round(coalesce(len(list_filter(s, lambda t: t IN ('erer', 'than', 'oner'))) / nullif(len(s), 0), 0), 6) AS density FROM s""")
 def keyword_density(spark, d):
-    return C.read(spark, d, "documents").select("doc_id", F.round(tx.keyword_density(c("text"), ["erer", "than", "oner"]), 6).alias("density"))
+    return C.documents(spark, d).select("doc_id", F.round(tx.keyword_density(c("text"), ["erer", "than", "oner"]), 6).alias("density"))
 
 
 @query(f"SELECT doc_id, CAST(len({S.words('text')}) AS BIGINT) AS n FROM documents")
 def word_count(spark, d):
-    return C.read(spark, d, "documents").select("doc_id", tx.word_count(c("text")).alias("n"))
+    return C.documents(spark, d).select("doc_id", tx.word_count(c("text")).alias("n"))
 
 
 @query()
@@ -131,7 +131,7 @@ def snippet(spark, d):
 
 @query()
 def porter_vocabulary(spark, d):
-    t = C.read(spark, d, "documents").select(F.explode(tx.clean_tokens(c("text"))).alias("token"))
+    t = C.documents(spark, d).select(F.explode(tx.clean_tokens(c("text"))).alias("token"))
     return analyzers.stem_vocabulary(t, analyzer="porter")
 
 
@@ -188,7 +188,7 @@ def normalize_url(spark, d):
 
 @query()
 def html_parse(spark, d):
-    p = html.parse_pages(C.read(spark, d, "pages"))
+    p = html.parse_pages(spread(C.read(spark, d, "pages"), "page_id"))
     return p.select("page_id", "title", "description", "language", "noindex", "word_count", "content_hash", F.to_json("headings").alias("headings"))
 
 
@@ -197,7 +197,7 @@ n AS (SELECT url, i, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || reg
 SELECT url AS src_url, dst AS dst_url, count(*) AS n FROM n GROUP BY 1, 2""")
 def html_link_targets(spark, d):
     """The targets, without their places: in these pages all links are in the navigation and relative to the root."""
-    links = html.page_links(html.parse_pages(C.read(spark, d, "pages"), keep_nav_links=True))
+    links = html.page_links(html.parse_pages(spread(C.read(spark, d, "pages"), "page_id"), keep_nav_links=True))
     hrefs = C.read(spark, d, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("h")).where("h LIKE '/%'")
     many = hrefs.select(c("url").alias("src_url"), F.concat(F.lower(F.regexp_extract("url", "^(https?://[^/?#]*)", 1)), F.regexp_extract("h", "^([^?#]*)", 1)).alias("dst_url")).groupBy("src_url", "dst_url").agg(F.count(F.lit(1)).alias("n"))
     return links.select("src_url", "dst_url").join(many, ["src_url", "dst_url"], "left").select("src_url", "dst_url", F.coalesce("n", F.lit(0)).alias("n"))
@@ -206,13 +206,13 @@ def html_link_targets(spark, d):
 @query("""SELECT page_id, left(replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), 300) AS title, lower(regexp_extract(html, '<html lang="([a-zA-Z]{2})', 1)) AS language,
 replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS h1 FROM pages""")
 def html_fields(spark, d):
-    p = html.parse_pages(C.read(spark, d, "pages"))
+    p = html.parse_pages(spread(C.read(spark, d, "pages"), "page_id"))
     return p.select("page_id", "title", "language", c("headings")["h1"][0].alias("h1"))
 
 
 @query()
 def html_links(spark, d):
-    return html.page_links(html.parse_pages(C.read(spark, d, "pages"), keep_nav_links=True))
+    return html.page_links(html.parse_pages(spread(C.read(spark, d, "pages"), "page_id"), keep_nav_links=True))
 
 
 # --- index ----------------------------------------------------------------------------

@@ -31,6 +31,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A scanned table, dealt out by ``key`` if it comes in fewer partitions than there
+    are cores (a small file, or one of a single row group); larger ones stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def broadcast_if_few(df: DataFrame, counted: DataFrame | None = None, rows: int = 20_000) -> DataFrame:
     """``df`` marked for broadcast if ``counted`` (itself by default), which bounds it, has at most ``rows`` rows."""
     few = (df if counted is None else counted).limit(rows + 1).count() <= rows

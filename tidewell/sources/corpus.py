@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
+from tidewell.runtime import spread
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as stored pages; every fiftieth page has status 404."""
-    d = read(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     i = F.col("doc_id")
     return d.select(
         i.alias("id"),
