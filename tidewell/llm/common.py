@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.runtime import Tables, ship
+from tidewell.runtime import Tables, ship, spread
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 64
@@ -55,8 +55,14 @@ def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+#: The tables whose rows are worth more than one task, and the column that deals them out.
+_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the driver; a small one is dealt out to all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(found, _KEYS[table]) if table in _KEYS else found
 
 
 def bounded(df: DataFrame) -> DataFrame:
