@@ -59,10 +59,10 @@ def crc32(data: bytes) -> int:
 _KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the driver; a small one is dealt out to all cores."""
+def read(spark: SparkSession, sf_dir: str, table: str, as_stored: bool = False) -> DataFrame:
+    """A table of the driver; a small one is dealt out to all cores, unless it is wanted as it is stored."""
     found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(found, _KEYS[table]) if table in _KEYS else found
+    return spread(found, _KEYS[table]) if table in _KEYS and not as_stored else found
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """As stored: a task packs its own rows, so more tasks would leave more last windows part full."""
+    return packing.pack(read(spark, sf_dir, "documents", as_stored=True), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
