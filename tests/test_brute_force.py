@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tidewell import config, schemas
+from tidewell import config, runtime, schemas
 from tidewell.functions import analyzers, html, register
 from tidewell.functions import text as tx
 from tidewell.functions import url as u
@@ -236,3 +236,18 @@ def test_created_tables(spark, tmp_path):
     assert {r["tableName"] for r in spark.sql("SHOW TABLES IN made").where("NOT isTemporary").collect()} == set(schemas.TABLES)
     assert spark.table("made.pages").columns == schemas.empty(spark, "pages").columns
     spark.sql("DROP DATABASE made CASCADE")
+
+
+def test_small_tables_are_dealt_out(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = (spark.range(1000).repartition(n) for n in (1, cores))
+    out = runtime.spread(few, "id")
+    assert out.rdd.getNumPartitions() == cores and sorted(r["id"] for r in out.collect()) == list(range(1000))
+    assert runtime.spread(many, "id") is many
+
+
+def test_broadcasts_follow_the_count(spark):
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(10)
+    assert "strategy=broadcast" in plan(runtime.broadcast_if_few(df, rows=10)) and "strategy=broadcast" not in plan(runtime.broadcast_if_few(df, rows=9))
+    assert "strategy=broadcast" not in plan(runtime.broadcast_if_few(df, spark.range(11), rows=10))
