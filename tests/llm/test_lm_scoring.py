@@ -138,3 +138,58 @@ def test_held_out_scores_beat_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm_scoring.score(docs, BYTE).where("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base")).first()
     assert r["model"] > r["base"]
+
+
+def test_learnt_pieces_shorten_the_words_and_lose_no_byte(spark):
+    counts = {"hazuga%%%": 900, "zuga": 400, "hazu": 70, "aaaaaaa": 60, "é%%%": 300, "rare-one": 2, lm_scoring.END: 1000}
+    pieces = lm_scoring.learn_pieces(counts, BYTE)
+    given, joined = lm_scoring.subwords(BYTE), lm_scoring.subwords(BYTE, pieces)
+    back = {i: w for w, i in joined.table.items()}
+    for word in [*counts, "unseen-hazuga", "日本語"]:
+        raw = word.encode()
+        if word != lm_scoring.END:
+            assert b"".join(back[i] for i in np.frombuffer(joined.pack(raw), "<u2").tolist()) == b" " + raw
+            assert len(joined.pack(raw)) <= len(given.pack(raw))
+    assert len(joined.pack(b"hazuga%%%")) == 2 and given.end == joined.end
+    assert pieces == lm_scoring.learn_pieces(dict(reversed(counts.items())), BYTE)
+    assert lm_scoring.learn_pieces({"few": 3}, BYTE) == lm_scoring.learn_pieces({}, BYTE) == ()
+
+
+def test_id_counts_with_pieces(spark):
+    counts = {"hazuga%%%": 900, "zuga": 400, lm_scoring.END: 1000}
+    pieces = lm_scoring.learn_pieces(counts, BYTE)
+    sub = lm_scoring.subwords(BYTE, pieces)
+    want = np.zeros(sub.size, np.int64)
+    for w, c in counts.items():
+        for i in [sub.end] if w == lm_scoring.END else np.frombuffer(sub.pack(w.encode()), "<u2").tolist():
+            want[i] += c
+    assert (lm_scoring.id_counts(spark.createDataFrame(list(counts.items()), "word string, c long"), BYTE, pieces) == want).all()
+
+
+def test_weights_beyond_the_range_of_exp():
+    vocab, flat = small()
+    flat = (flat * 40).astype(np.float32)
+    x, y = np.random.default_rng(2).integers(0, vocab.size, (2, 3, W)).astype(np.uint16)
+    got, exact = (lm_scoring.log_probabilities(vocab, vocab.unpack(f), x, y, np.ones(x.shape, bool)) for f in (flat, flat.astype(np.float64)))
+    assert np.isfinite(got).all() and np.allclose(got, exact, rtol=1e-3, atol=1e-2)
+
+
+def test_parts_of_a_batch_do_not_change_it(monkeypatch):
+    vocab, flat = small()
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, vocab.size, (2, 11, W)).astype(np.uint16)
+    weight = rng.integers(0, 3, x.shape)
+    texts = [framed(rng.integers(0, 60, n).tolist()) for n in (0, 7, 300, W)]
+    whole = lm_scoring.gradient(vocab, flat, x, y, weight), lm_scoring.score_texts(vocab, flat, texts)
+    for name, n in (("ATTEND_BATCH", 3), ("CLASS_ROWS", 50), ("SCORE_BATCH", 4)):
+        monkeypatch.setattr(lm_scoring, name, n)
+    assert np.allclose(lm_scoring.gradient(vocab, flat, x, y, weight), whole[0], rtol=1e-3, atol=1e-6)
+    assert np.allclose(lm_scoring.score_texts(vocab, flat, texts), whole[1], rtol=1e-5)
+
+
+def test_subwords_of_a_corpus_are_joined(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = lm_scoring.word_counts(docs.select("text"))
+    pieces = lm_scoring.learn_pieces(lm_scoring.frequent(counts), BYTE)
+    given, joined = (lm_scoring.id_counts(counts, BYTE, p).sum() for p in ((), pieces))
+    assert joined < 0.8 * given

@@ -5,7 +5,9 @@ Their counts over all training texts are a distributed table.  The words of
 the highest counts (BROADCAST_WORDS at most) are broadcast; the rest of a
 text's words meet the table by a join on the word.
 
-The model predicts the subword ids of the same words and an end id.  Its input
+The model predicts the subword ids of the same words and an end id.  To the
+given subwords come at most PIECES pieces, pairs of subwords of the training
+words of the highest counts that are joined as byte-pair encoding does.  Its input
 are the embeddings of the ids before; one causal self-attention layer with a
 bias for each distance gives a hidden vector, from which a softmax gives the
 class of the next id and another one the id in its class.  The classes are
@@ -53,14 +55,20 @@ BLOCK = 8 * WINDOW
 #: Ids that one shard learns from, about; rounds of a pass; passes over fewer ids at most.
 SHARD_IDS, ROUNDS, MAX_PASSES = 8_000_000, 4, 10
 #: Windows of a step and of a scoring batch; greatest learning rate; steps until it is reached.
-BATCH, SCORE_BATCH, RATE, WARM_STEPS = 128, 256, 0.015, 20
+BATCH, SCORE_BATCH, RATE, WARM_STEPS = 256, 512, 0.02, 20
+#: Windows that attend, places that choose a class and weights that move at a time: what a core's cache holds.
+ATTEND_BATCH, CLASS_ROWS, STEP_WEIGHTS = 128, 4096, 1 << 14
 #: The most frequent ids, whose uses on either side tell an id's class.
 CONTEXT_IDS, CLUSTER_ROUNDS = 64, 12
 #: Pairs of neighbours that are counted at a time.
 COUNT_PAIRS = 2_000_000
 BROADCAST_WORDS = 200_000
+#: Joined pieces at most, their least uses, and the ids of broadcast words that they are learnt from.
+PIECES, PIECE_USES, PIECE_IDS = 4000, 50, 2_000_000
+#: Pairs that are joined at a time: none overlap, and all have half the uses of the first.
+PAIRS = 64
 FLUSH_WORDS = 300_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Weights of a row on their way to the driver.
 CHUNK = 1 << 16
 #: The end of a text as a counted token; no word holds a line break.
@@ -69,15 +77,17 @@ SEED = 7
 
 
 class Subwords(dict):
-    """word (bytes) -> its ids as packed unsigned 16-bit numbers."""
+    """word (bytes) -> its ids as packed unsigned 16-bit numbers; ``pieces`` are joined after the given ranks."""
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, pieces: tuple[bytes, ...] = ()):
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = max(table.values()) + 1
-        self.size = self.end + 1
+        self.size = self.end + 1 + len(pieces)
+        table.update(zip(pieces, range(self.end + 1, self.size)))
+        self.table = table
         if self.size >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self._encode = tiktoken.Encoding("subwords", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
@@ -98,9 +108,61 @@ class Subwords(dict):
         return b"".join([end, *map(self.__getitem__, words), end])
 
 
-@functools.cache
-def subwords(ranks: str) -> Subwords:
-    return Subwords(ranks)
+@functools.lru_cache(1)  # a worker keeps the words of one set of pieces
+def subwords(ranks: str, pieces: tuple[bytes, ...] = ()) -> Subwords:
+    return Subwords(ranks, pieces)
+
+
+def learn_pieces(counts: dict[str, int], ranks: str) -> tuple[bytes, ...]:
+    """Pieces to join after the given ranks: byte-pair encoding goes on over the counted words, the most frequent first."""
+    sub = subwords(ranks)
+    id_of, piece_of, new = dict(sub.table), {i: w for w, i in sub.table.items()}, []
+    words, uses, held = [], [], 0
+    for word, c in sorted(counts.items(), key=lambda r: (-r[1], r[0])):
+        if word == END:
+            continue
+        packed = sub.pack(word.encode("utf-8", "surrogatepass"))
+        if held + len(packed) // 2 > PIECE_IDS:
+            break
+        words.append(packed)
+        uses.append(c)
+        held += len(packed) // 2
+    ids = np.frombuffer(b"".join(words), "<u2").astype(np.int64)
+    word = np.repeat(np.arange(len(words)), [len(w) // 2 for w in words])
+    n = np.array(uses, np.float64)[word] if words else np.zeros(0)
+    while len(new) < PIECES and len(ids) > 1:
+        pairs = np.where(word[1:] == word[:-1], ids[:-1] << 16 | ids[1:], -1)
+        found, of = np.unique(pairs, return_inverse=True)
+        met = np.where(found < 0, 0, np.bincount(of, n[:-1]))
+        order = np.lexsort((found, -met))[:PAIRS]
+        code, lefts, rights = np.full(len(found), -1), set(), set()
+        for i in order:
+            if met[i] < max(PIECE_USES, met[order[0]] / 2) or len(new) == PIECES:
+                break
+            left, right = divmod(int(found[i]), 1 << 16)
+            if left in rights or right in lefts:
+                continue
+            lefts.add(left)
+            rights.add(right)
+            piece = piece_of[left] + piece_of[right]
+            if piece not in id_of:
+                id_of[piece] = sub.size + len(new)
+                piece_of[id_of[piece]] = piece
+                new.append(piece)
+            code[i] = id_of[piece]
+        at = np.flatnonzero(code[of] >= 0)
+        if not len(at):
+            break
+        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # a run of one id: every other place begins a pair
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        ids[at] = code[of[at]]
+        ids, word, n = (np.delete(a, at + 1) for a in (ids, word, n))
+    return tuple(new)
+
+
+def keep_heap() -> None:
+    """A freed block of this size lets the C library keep what later arrays free, not ask for the same pages in each step."""
+    np.empty(8 << 20, np.uint8)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -197,53 +259,60 @@ def attend(p: dict, x: np.ndarray) -> tuple:
     return h, (h0, q, k, v, s, z, o)
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of column ``at`` of each row, sums); ``logits`` become their exponentials."""
-    if logits.max() > 60 or logits.min() < -60:
-        logits -= logits.max(1, keepdims=True)
-    chosen = logits[np.arange(len(logits)), at]
-    np.exp(logits, out=logits)
-    total = logits.sum(1)
-    return chosen - np.log(total), total
-
-
 def predict(vocab: Vocabulary, p: dict, h: np.ndarray, y: np.ndarray, learn: dict | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probabilities of the output rows y, which come sorted: of the class times that in the class.
 
     With ``learn`` (gradient views), also the gradient of the weighted loss by h."""
 
-    def asked(h, rows, at, weight):
-        logits = h @ rows.T
-        found, total = _softmax(logits, at)
-        if learn is None:
-            return found, None
-        logits /= total[:, None]
-        logits[np.arange(len(at)), at] -= 1
-        if weight is not None:
-            logits *= weight[:, None]
-        return found, logits
-
     cls = vocab.class_of_row[y]
-    out, d = asked(h, p["cls"], cls, weight)
-    dh = None
-    if learn is not None:
-        learn["cls"][:] = d.T @ h
-        dh = d @ p["cls"]
     cut = np.searchsorted(cls, np.arange(len(vocab.first))).tolist()
-    for i, j, a, b in zip(cut, cut[1:], vocab.first, vocab.first[1:]):
-        if i == j or b - a == 1:
-            continue
-        found, d = asked(h[i:j], p["row"][a:b], y[i:j] - a, None if weight is None else weight[i:j])
-        out[i:j] += found
-        if learn is not None:
-            learn["row"][a:b] = d.T @ h[i:j]
-            dh[i:j] += d @ p["row"][a:b]
-    return out, dh
+    ones = np.ones(max(len(p["cls"]), *np.diff(vocab.first)), h.dtype)
+    found, total = (np.zeros((2, len(y)), h.dtype) for _ in range(2))
+    total[1] = 1
+    dh = None if learn is None else np.empty_like(h)
+
+    def ask(level, i, j, first, rows, at, shift):
+        """The places i to j choose among ``rows``, the output rows from ``first``."""
+        mine = h[i:j]
+        logits = mine @ rows.T
+        if shift:
+            logits -= logits.max(1, keepdims=True)
+        at = at + np.arange(0, logits.size, len(rows))
+        flat = logits.reshape(-1)
+        found[level, i:j] = flat[at]
+        np.exp(logits, out=logits)
+        sums = total[level, i:j] = logits @ ones[: len(rows)]
+        if learn is None:
+            return
+        flat[at] -= sums
+        scale = ((1 if weight is None else weight[i:j]) / sums)[:, None]
+        of_rows, of_h = logits.T @ (mine * scale), logits @ rows
+        of_h *= scale
+        if level == 0:
+            learn["cls"][:] = of_rows if i == 0 else learn["cls"] + of_rows
+            dh[i:j] = of_h
+        else:
+            learn["row"][first : first + len(rows)] = of_rows
+            dh[i:j] += of_h
+
+    def run(shift):
+        for i in range(0, len(y), CLASS_ROWS):
+            j = min(i + CLASS_ROWS, len(y))
+            ask(0, i, j, 0, p["cls"], cls[i:j], shift)
+        for i, j, a, b in zip(cut, cut[1:], vocab.first, vocab.first[1:]):
+            if i < j and b - a > 1:
+                ask(1, i, j, a, p["row"][a:b], y[i:j] - a, shift)
+
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        run(False)
+    if len(y) and not (total.max() < 1e30 and total.min() > 1e-30):  # near the range of exp: shifted by each row's greatest
+        run(True)
+    return (found - np.log(total)).sum(0), dh
 
 
 def log_probabilities(vocab: Vocabulary, p: dict, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Natural log probability of each output row y at the wanted places of the windows x; 0 elsewhere."""
-    h, _ = attend(p, x)
+    h = np.concatenate([attend(p, x[i : i + ATTEND_BATCH])[0] for i in range(0, len(x), ATTEND_BATCH)])
     at = np.flatnonzero(wanted)
     at = at[np.argsort(y.ravel()[at], kind="stable")]
     out = np.zeros(y.size)
@@ -254,26 +323,30 @@ def log_probabilities(vocab: Vocabulary, p: dict, x: np.ndarray, y: np.ndarray,
 def gradient(vocab: Vocabulary, flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Flat gradient of the weighted mean loss; a place of weight 0 is not asked."""
     p, out = vocab.unpack(flat), np.zeros_like(flat)
-    g, b = vocab.unpack(out), len(x)
-    h, (h0, q, k, v, s, z, o) = attend(p, x)
+    g, parts = vocab.unpack(out), range(0, len(x), ATTEND_BATCH)
+    kept = [attend(p, x[i : i + ATTEND_BATCH]) for i in parts]
+    h = kept[0][0] if len(kept) == 1 else np.concatenate([k[0] for k in kept])
     at = np.flatnonzero(weight)
     at = at[np.argsort(y.ravel()[at], kind="stable")]
     w = weight.ravel()[at].astype(flat.dtype)
-    dh = np.zeros((len(h0), DIM), flat.dtype)
+    dh = np.zeros((len(h), DIM), flat.dtype)
     dh[at] = predict(vocab, p, h[at], y.ravel()[at], g, w if w.max(initial=1) > 1 else None)[1][:, :DIM]
-    g["mix"][:] = o.T @ dh
-    do = (dh @ p["mix"].T).reshape(b, WINDOW, DIM)
-    s /= z
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= (do.reshape(-1, DIM) * o).sum(1).reshape(b, WINDOW, 1)
-    ds *= s
-    g["lag"][:] = np.bincount(_LAG.ravel(), ds.sum(0).ravel(), WINDOW)
-    d_qkv = np.empty((len(h0), 3 * DIM), flat.dtype)
-    d_qkv[:, :DIM] = (ds @ k).reshape(-1, DIM)
-    d_qkv[:, DIM : 2 * DIM] = (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
-    d_qkv[:, 2 * DIM :] = (s.transpose(0, 2, 1) @ do).reshape(-1, DIM)
-    g["qkv"][:] = h0.T @ d_qkv
-    dh += d_qkv @ p["qkv"].T
+    lag = np.zeros((WINDOW, WINDOW), flat.dtype)
+    for i, (_, (h0, q, k, v, s, z, o)) in zip(parts, kept):
+        mine, b = dh[i * WINDOW : i * WINDOW + len(h0)], len(s)
+        g["mix"] += o.T @ mine
+        do = mine @ p["mix"].T
+        s /= z
+        ds = do.reshape(b, WINDOW, DIM) @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ij,ij->i", do, o).reshape(b, WINDOW, 1)
+        ds *= s
+        lag += ds.sum(0)
+        d_qkv = np.empty((len(h0), 3 * DIM), flat.dtype)
+        for j, d in enumerate((ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do.reshape(b, WINDOW, DIM))):
+            d_qkv[:, j * DIM : (j + 1) * DIM] = d.reshape(-1, DIM)
+        g["qkv"] += h0.T @ d_qkv
+        mine += d_qkv @ p["qkv"].T
+    g["lag"][:] = np.bincount(_LAG.ravel(), lag.ravel(), WINDOW)
     order = np.argsort(x.ravel(), kind="stable")
     ids = x.ravel()[order]
     starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
@@ -293,17 +366,21 @@ class Adam:
         g = gradient(self.vocab, self.w, x, y, weight)
         self.t += 1
         self.seen += int(weight.sum())
-        self.m += np.float32(0.1) * (g - self.m)
-        np.square(g, out=g)
-        g -= self.v
-        g *= np.float32(0.01)
-        self.v += g
-        np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=g)
-        np.sqrt(g, out=g)
-        g += np.float32(1e-8)
-        np.divide(self.m, g, out=g)
-        g *= np.float32(self.rate * min(1, self.t / WARM_STEPS) / (1 - 0.9**self.t))
-        self.w -= g
+        scale, rate = np.float32(1 / (1 - 0.99**self.t)), np.float32(self.rate * min(1, self.t / WARM_STEPS) / (1 - 0.9**self.t))
+        for at in range(0, len(g), STEP_WEIGHTS):
+            d, w, m, v = (a[at : at + STEP_WEIGHTS] for a in (g, self.w, self.m, self.v))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            d *= d
+            d *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += d
+            np.multiply(v, scale, out=d)
+            np.sqrt(d, out=d)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= rate
+            w -= d
 
 
 def block_windows(vocab: Vocabulary, blocks: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,11 +447,12 @@ def word_counts(training: DataFrame) -> DataFrame:
     return common.bounded(training.select("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def id_counts(counts: DataFrame, ranks: str) -> np.ndarray:
+def id_counts(counts: DataFrame, ranks: str, pieces: tuple[bytes, ...] = ()) -> np.ndarray:
     """Uses of each subword id in the training texts; as long as the vocabulary."""
+    shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
-        sub = subwords(ranks)
+        sub = subwords(ranks, shared.value)
         total = np.zeros(sub.size, np.int64)
         for batch in batches:
             end = struct.pack("<H", sub.end)  # each word comes once: the store of words would not help
@@ -385,7 +463,7 @@ def id_counts(counts: DataFrame, ranks: str) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    out = np.zeros(subwords(ranks).size, np.int64)
+    out = np.zeros(subwords(ranks, pieces).size, np.int64)
     for r in common.bounded(counts).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
@@ -447,9 +525,11 @@ def _summed(rows: DataFrame, key: str, value: str, kind: str, spread: int = 1) -
 
 def clusters(n: np.ndarray, beside: np.ndarray) -> np.ndarray:
     """A class for each id: k-means of the square roots of their context shares,
-    around the most frequent ids; a class takes at most twice the mean number."""
+    around the most frequent ids; a class takes about twice the mean sum of the
+    roots of its counts at most, so that the classes asked most are short."""
     k = max(1, round(math.sqrt(len(n))))
-    room = np.full(k, 2 * -(-len(n) // k))
+    size = np.sqrt(n)
+    room = np.full(k, 2.0 * size.sum() / k)
     x = np.sqrt((beside + 1e-3) / (beside + 1e-3).sum(1, keepdims=True)).astype(np.float32)
     centres = x[:k].copy()
     for _ in range(CLUSTER_ROUNDS):
@@ -461,7 +541,7 @@ def clusters(n: np.ndarray, beside: np.ndarray) -> np.ndarray:
     for i, v in enumerate(x):  # the most frequent ids choose first
         near = 2 * centres @ v - (centres * centres).sum(1)
         out[i] = int(np.where(room > 0, near, -np.inf).argmax())
-        room[out[i]] -= 1
+        room[out[i]] -= size[i]
     return out
 
 
@@ -491,6 +571,7 @@ def train(training: DataFrame, vocab: Vocabulary, scratch: common.Scratch) -> np
 
         def run(batches):
             vocab, state, steps, rate = shared.value
+            keep_heap()
             total, model, shard, rest = np.zeros(len(state) + 2), None, None, None
 
             def end():
@@ -543,15 +624,16 @@ def frequent(counts: DataFrame) -> dict[str, int]:
     return {r["word"]: r["c"] for r in counts.where(F.col("c") >= least).collect()}
 
 
-def read_texts(docs: DataFrame, counts: DataFrame, ranks: str, key: str, text: str) -> DataFrame:
+def read_texts(docs: DataFrame, often: dict[str, int], ranks: str, pieces: tuple[bytes, ...], key: str, text: str) -> DataFrame:
     """(doc_id, held_out, row, n_tokens, n_known, base, rare, ids) of every text: what the
     broadcast words give of the base, the other words, the framed ids."""
     rows = _fold(docs, key, text).select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
-    known = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in frequent(counts).items()}
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    known = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in often.items()}
+    shared = docs.sparkSession.sparkContext.broadcast((known, pieces))
 
     def run(batches):
-        known, sub = shared.value, subwords(ranks)
+        known, pieces = shared.value
+        sub = subwords(ranks, pieces)
         for batch in batches:
             for part in common.slices(batch):
                 n_tokens, n_known, base, rare, ids = [], [], [], [], []
@@ -580,14 +662,17 @@ def score(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text")
     counts = scratch.table(word_counts(_fold(docs, key, text).where(~F.col("held_out"))))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     floor = math.log10(1.0 / (size["n"] + size["v"] + 1))
-    texts = scratch.table(read_texts(docs, counts, ranks, key, text))
+    often = frequent(counts)
+    pieces = learn_pieces(often, ranks)
+    texts = scratch.table(read_texts(docs, often, ranks, pieces, key, text))
     training = texts.where(~F.col("held_out")).select("ids")
-    vocab = Vocabulary(id_counts(counts, ranks), subwords(ranks).end)
+    vocab = Vocabulary(id_counts(counts, ranks, pieces), subwords(ranks, pieces).end)
     vocab.classes(clusters(vocab.n, contexts(training, vocab)))
     shared = spark.sparkContext.broadcast((vocab, train(training, vocab, scratch)))
 
     def run(batches):
         vocab, flat = shared.value
+        keep_heap()
         for batch in batches:
             for part in common.slices(batch):
                 total = score_texts(vocab, flat, part.column(0).to_pylist())
