@@ -55,7 +55,7 @@ BLOCK = 8 * WINDOW
 #: Ids that one shard learns from, about; rounds of a pass; passes over fewer ids at most.
 SHARD_IDS, ROUNDS, MAX_PASSES = 8_000_000, 4, 10
 #: Windows of a step and of a scoring batch; greatest learning rate; steps until it is reached.
-BATCH, SCORE_BATCH, RATE, WARM_STEPS = 256, 512, 0.02, 20
+BATCH, SCORE_BATCH, RATE, WARM_STEPS = 128, 512, 0.015, 20
 #: Windows that attend, places that choose a class and weights that move at a time: what a core's cache holds.
 ATTEND_BATCH, CLASS_ROWS, STEP_WEIGHTS = 128, 4096, 1 << 14
 #: The most frequent ids, whose uses on either side tell an id's class.
