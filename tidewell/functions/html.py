@@ -4,7 +4,9 @@ One Arrow batch UDF parses a page once and returns everything as a struct."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,6 +23,7 @@ from tidewell.runtime import ship
 NOISE = ["script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z0-9]+;)?")
 _TEXT = T.StringType()
 _LINK = T.StructType([T.StructField(x, _TEXT) for x in ("url", "anchor_text", "rel")])
 SCHEMA = T.StructType(
@@ -110,9 +113,16 @@ class _Page(HTMLParser):
             self.pieces.append(data.strip())
 
 
-def parse(html: str | None, base: str | None, keep_nav_links: bool = False) -> dict:
+def _whole_references(html: str) -> str:
+    """``html`` in which an & that begins no reference with its semicolon stands for itself."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + (m[1] or ""), html)
+
+
+def parse(html: str | None, base: str | None, keep_nav_links: bool = False, whole_references: bool = False) -> dict:
+    """With ``whole_references`` a reference that lacks its semicolon ("&amp") stays as
+    it is written; otherwise it is read as browsers do."""
     page = _Page(keep_nav_links)
-    page.feed(html or "")
+    page.feed(_whole_references(html or "") if whole_references else html or "")
     page.close()
     for tag in [t for t, _ in reversed(page.open)]:
         page._close(tag)
@@ -141,11 +151,11 @@ def parse(html: str | None, base: str | None, keep_nav_links: bool = False) -> d
 
 
 @F.pandas_udf(SCHEMA)
-def _parsed(html: pd.Series, base: pd.Series, keep: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse(h, b, bool(k)) for h, b, k in zip(html, base, keep)], columns=SCHEMA.names)
+def _parsed(html: pd.Series, base: pd.Series, keep: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse(h, b, bool(k), bool(w)) for h, b, k, w in zip(html, base, keep, whole)], columns=SCHEMA.names)
 
 
-def parse_pages(pages: DataFrame, keep_nav_links: bool = False, detector: Callable[[Column], Column] | None = None) -> DataFrame:
+def parse_pages(pages: DataFrame, keep_nav_links: bool = False, detector: Callable[[Column], Column] | None = None, whole_references: bool = False) -> DataFrame:
     """``pages`` (url, html, ...) with the parsed fields, content cut at CONTENT_LIMIT,
     word_count of the whole text and its hash; html is dropped.
 
@@ -153,7 +163,7 @@ def parse_pages(pages: DataFrame, keep_nav_links: bool = False, detector: Callab
     analyzers.stop_word_language), a function of the content's first 2000 characters."""
     ship(pages.sparkSession)
     rest = [c for c in pages.columns if c != "html"]
-    out = pages.withColumn("_p", _parsed("html", "url", F.lit(keep_nav_links))).select(*rest, "_p.*")
+    out = pages.withColumn("_p", _parsed("html", "url", F.lit(keep_nav_links), F.lit(whole_references))).select(*rest, "_p.*")
     if detector is not None:
         out = out.withColumn("language", F.when(F.col("language") != "", F.col("language")).otherwise(F.coalesce(detector(F.substring("content", 1, 2000)), F.lit(""))))
     return out.select(
