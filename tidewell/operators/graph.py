@@ -15,6 +15,10 @@ from tidewell import config
 from tidewell.runtime import Tables
 
 
+#: Edges, and nodes, in a part of the kept edges.
+ROWS_A_PART = 250_000
+
+
 def first_links(links: DataFrame, order: list[str]) -> DataFrame:
     """One row per (src, dst), the first by ``order``."""
     rest = [c for c in links.columns if c not in ("src", "dst")]
@@ -88,7 +92,9 @@ def pagerank(
     personalised rank does: PERSONALISED_ITERATIONS of them unless told otherwise.
 
     The weighted edges are dealt out by source once and kept so (a lost part is
-    read again from their table); a round moves the ranks and the flows alone."""
+    read again from their table); a round moves the ranks and the flows alone.  Their
+    parts follow the edges' number, so that a round has no more tasks than it has work
+    for, and the ranks of a part are hashed, so that no round sorts the edges."""
     if seeds is not None:
         tolerance = None
     if max_iterations is None:
@@ -121,11 +127,11 @@ def pagerank(
         start = given.select("node", "dangles", "teleport", (F.col("r") / max(total, 1e-12)).alias("rank"))
     ranks = tables.write(start)
     lost = _lost(ranks)
-    weighted = weighted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
+    weighted = weighted.repartition(_parts(spark.sparkContext.defaultParallelism, weighted.count(), n), "src").persist()
     for i in range(1, max_iterations + 1):
         if should_stop is not None and should_stop():
             break
-        flow = weighted.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("rank")).alias("flow"))
+        flow = weighted.join(ranks.select(F.col("node").alias("src"), "rank").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("rank")).alias("flow"))
         spread = F.lit(damping * lost / n)
         after = ranks.withColumnRenamed("rank", "old").join(flow, "node", "left").select("node", "dangles", "teleport", "old", (F.col("teleport") + spread + F.coalesce("flow", F.lit(0.0))).alias("rank"))
         done = tables.write(after)
@@ -141,5 +147,10 @@ def pagerank(
     return ranks.select("node", "rank")
 
 
+def _parts(cores: int, edges: int, nodes: int) -> int:
+    """Parts of at most ROWS_A_PART edges and nodes on average, one a core at least."""
+    return max(cores, -(-max(edges, nodes) // ROWS_A_PART))
+
+
 def _lost(ranks: DataFrame) -> float:
     return ranks.agg(F.coalesce(F.sum(F.when(F.col("dangles"), F.col("rank"))), F.lit(0.0))).first()[0]
